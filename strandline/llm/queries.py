@@ -13,7 +13,10 @@ MODULES = {
     "op3_exact_dedup": "exact_dedup",
     "op5_bpe_codec": "bpe_codec",
     "op6_toxicity": "toxicity",
+    "op7_warc": "warc",
+    "op8_main_text": "main_text",
     "op9_mixing": "mixing",
+    "op10_nearest": "ann",
 }
 
 
