@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module of this subpackage that defines it; ``<NAME>_SQL`` there is its oracle, if any.
 MODULES = {
     "op1_token_counts": "token_counts",
+    "op2_substring_dedup": "substring_dedup",
     "op3_exact_dedup": "exact_dedup",
     "op5_bpe_codec": "bpe_codec",
     "op6_toxicity": "toxicity",

@@ -29,8 +29,7 @@ def suffix_array(first: np.ndarray, step: int, depth: int) -> tuple[np.ndarray,
     sa, rank = np.arange(n), np.zeros(n, np.int64)
     if not n:
         return sa, rank
-    _, dense = np.unique(first, return_inverse=True)
-    open_ = _regroup(sa, rank, np.arange(n), dense.astype(np.int64))
+    open_ = _regroup(sa, rank, np.arange(n), first)
     slots = np.flatnonzero(open_)
     while step < depth and len(slots):
         ahead = min(step, depth - step)
@@ -66,7 +65,10 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, cap: int, lanes: int =
         same[same] = symbols[a[same]] == symbols[b[same]]
         ended = ~same
         lcp[place[at[ended]]] = np.where(prev[ended] >= 0, have[ended], 0)
-        have = np.where(same, have + 1, np.maximum(have - 1, 0))
+        # suffixes equal to the sorted depth may be in either order; what they share carries over only in the right one
+        after, theirs = np.minimum(at + 1, n - 1), np.clip(prev + 1, 0, n - 1)
+        carries = (prev >= 0) & (place[theirs] < place[after]) & (prev + 1 < n)
+        have = np.where(same, have + 1, np.where(carries, np.maximum(have - 1, 0), 0))
         at = at + ended
         if (at >= stop).any():
             on = at < stop
