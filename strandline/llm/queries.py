@@ -12,6 +12,7 @@ MODULES = {
     "op1_token_counts": "token_counts",
     "op2_substring_dedup": "substring_dedup",
     "op3_exact_dedup": "exact_dedup",
+    "op4_jaccard_join": "jaccard_join",
     "op5_bpe_codec": "bpe_codec",
     "op6_toxicity": "toxicity",
     "op7_warc": "warc",
