@@ -113,6 +113,24 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def bpe_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Training records: the identifier, source, ids array<int>, n_tokens and decoded_sha256 of each row."""
+    common.ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, sha = [], []
+            for x, _ in encode([t or "" for t in batch.column(1).to_pylist()], path):
+                ids.append(x.astype(np.int32))
+                sha.append(hashlib.sha256(decode(x, path)).hexdigest())
+            columns = [batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, source_col, "ids", "n_tokens", "decoded_sha256"])
+
+    schema = f"`{id_col}` {kind}, `{source_col}` string, ids array<int>, n_tokens long, decoded_sha256 string"
+    return docs.select(id_col, text_col, source_col).mapInArrow(run, schema)
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query: the multilingual 50k ranks over all documents."""
     import public_tokenizers
