@@ -93,7 +93,8 @@ class Shard:
         span, have = WIDTH - GRAM + 1, 1
         while have < span:  # least of `have` neighbours, doubling
             step = min(have, span - have)
-            low[: len(low) - step] = np.minimum(low[: len(low) - step], low[step:])
+            if step < n:
+                low[: n - step] = np.minimum(low[: n - step], low[step:])
             have += step
         starts = np.flatnonzero(self.valid())
         return starts, (low[starts] & ((_U(1) << bits) - _U(1))).astype(np.int64), h
