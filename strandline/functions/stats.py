@@ -7,9 +7,10 @@ from math import comb
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_greater(hits: pd.Series, n: pd.Series, base_hits: pd.Series, base_n: pd.Series) -> pd.Series:
     """One-sided Fisher exact p: as many hits as seen or more, if both samples had one rate."""
 

@@ -300,7 +300,7 @@ def hash_sample(spark, d):
 
 def spine_layout(spark, d):
     w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
-    return _docs(spark, d).select("source", "doc_id", F.coalesce(F.sum(F.ceil(F.col("n_chars") / 60) * 60).over(w), F.lit(0)).alias("offset"))
+    return _docs(spark, d).select("source", "doc_id", F.coalesce(F.sum(F.ceil(F.col("n_chars") / 60) * 60).over(w), F.lit(0)).alias("spine_at"))
 
 
 QUERIES = {
@@ -368,5 +368,5 @@ QUERIES = {
     "differential": (differential, "with a as (select user_id, count(*) as n from events group by 1), b as (select user_id, count(*) as n from events where event_id % 500 <> 0 group by 1) select *, 'left' as side from (select * from a except all select * from b) union all select *, 'right' from (select * from b except all select * from a)"),
     "amplify_plan": (amplify_plan, "with j as (select source as day, n_chars, n_chars > 120 and (doc_id + v) % 11 <> 0 as ok from documents, range(2) r(v)) select day, count(*) as n_jobs, count(*) filter (ok) as n_ok, cast(sum(n_chars) filter (ok) as bigint) as chars, count(*) filter (ok) / count(*) as ok_rate from j group by 1"),
     "hash_sample": (hash_sample, "select source, doc_id from (select source, doc_id, coalesce(sum(n_chars) over (partition by source order by md5('7:' || doc_id), doc_id rows between unbounded preceding and 1 preceding), 0) as b from documents) where b < 15000"),
-    "spine_layout": (spine_layout, "select source, doc_id, cast(coalesce(sum(ceil(n_chars / 60) * 60) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as offset from documents"),
+    "spine_layout": (spine_layout, "select source, doc_id, cast(coalesce(sum(ceil(n_chars / 60) * 60) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as spine_at from documents"),
 }
