@@ -6,8 +6,8 @@ lose no link:
 1. Candidates. Two sets with similarity 0.8 share a shingle among the first (a fifth of each) in any fixed order, so each
    set is entered under those shingles; frequent shingles, as a bounded sample of documents tells, are ordered last.
    Shared shingles are found from packed 32-bit keys per shard and range. Under a shared shingle two sets are candidates if
-   their distances to 64 fixed landmarks (classes of shingles) allow it: by the triangle inequality the counts per class
-   differ in sum by no more than the sets do. Candidates are kept as spanning forests, not as pairs.
+   their distances to fixed landmarks (classes of shingles, more of them for larger sets) allow it: by the triangle inequality
+   the counts per class differ in sum by no more than the sets do. Candidates are kept as spanning forests, not as pairs.
 2. Regions. The connected components of all forests: no link leaves a region.
 3. Each region is joined exactly: two pivots (a set and the one farthest from it) split it into Voronoi cells, the sets
    whose distances to the pivots differ by at most twice the radius are replicated into the other cell's join, and the
@@ -33,8 +33,8 @@ from strandline.llm.exact_dedup import merged
 
 #: Words of a shingle; the similarity of a link in hundredths.
 WORDS, LEAST = 5, 80
-#: Landmarks of the candidate filter.
-LANDMARKS = 64
+#: Landmarks of the candidate filter: LANDMARKS, or as many times 4 as keep a set's mean count under CROWDED.
+LANDMARKS, CROWDED = 64, 16
 #: Documents sampled for frequent shingles, the sample's documents a frequent one is in, and frequent ones at most.
 SAMPLE, OFTEN, FREQUENT = 4000, 4, 200_000
 #: Classes in a shard.
@@ -109,6 +109,21 @@ def _least_overlap(n: int) -> int:
     return (LEAST * n + 99) // 100
 
 
+def tier_of(n: int) -> int:
+    """How many times the landmarks of a set of this size are made four."""
+    tier = 0
+    while n >= CROWDED * LANDMARKS * 4**tier:
+        tier += 1
+    return tier
+
+
+def marks_of(s: np.ndarray, tier: int) -> np.ndarray:
+    """The set's counts by landmark; empty if one does not fit a byte: such a set is not filtered."""
+    width = LANDMARKS * 4**tier
+    counts = np.bincount((s >> _U(65 - width.bit_length())).astype(np.int64), minlength=width)
+    return counts.astype(np.uint8) if counts.max(initial=0) < 256 else np.zeros(0, np.uint8)
+
+
 def features(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """(id, n, digest, prefix, marks) per document: set size, digest of the set, the shingles it is entered under, counts
     by landmark."""
@@ -126,7 +141,7 @@ def features(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str)
                 ordered = np.concatenate([s[~own], s[own]])
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 prefixes.append(ordered[: n - _least_overlap(n) + 1].tobytes() if n else b"")
-                marks.append(np.bincount((s >> _U(58)).astype(np.int64), minlength=LANDMARKS).clip(max=255).astype(np.uint8).tobytes())
+                marks.append(marks_of(s, tier_of(n)).tobytes())
                 at += n
             columns = [batch.column(0), pa.array([len(s) for s in sets], _L), pa.array(digests, _B), pa.array(prefixes, _B), pa.array(marks, _B)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "prefix", "marks"])
@@ -189,12 +204,12 @@ def shared_keys(table: pa.Table) -> pa.Table:
     return _table([x for x in rows if x[2]], "shard range keys", [_I, _I, _B])
 
 
-_MEMBERS = ["range", "keys", "ids", "sizes", "marks"]
+_MEMBERS = ["range", "keys", "places", "ids", "sizes", "marks", "widths"]
 
 
 def members_of(table: pa.Table, told: pa.Table, bits: int) -> pa.Table:
-    """A shard's entries under shared shingles, with what the candidate filter needs."""
-    kinds = [_I, _B, _B, _B, _B]
+    """A shard's entries under shared shingles by range; what the candidate filter needs stands once per range and set."""
+    kinds = [_I, *[_B] * 6]
     if not table.num_rows:
         return _table([], " ".join(_MEMBERS), kinds)
     keys, row = _entries(table)
@@ -204,19 +219,57 @@ def members_of(table: pa.Table, told: pa.Table, bits: int) -> pa.Table:
     local = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     on = np.isin(keys >> _U(32 - bits), shared) | np.isin(keys, local)
     keys, row = keys[on], row[on]
-    ids, sizes = np.array(table.column("id").to_pylist(), np.int64), np.array(table.column("n").to_pylist(), np.int32)
-    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, LANDMARKS)
+    ids, sizes = np.array(table.column("id").to_pylist(), np.int64), np.array(table.column("n").to_pylist(), np.int64)
+    marks = table.column("marks").to_pylist()
     order, bound = _by_range(keys, bits)
     short = (keys << _U(bits) >> _U(32)).astype(np.uint32)
     rows = []
     for r, (a, b) in enumerate(zip(bound[:-1], bound[1:])):
         if b > a:
             own = order[a:b]
-            at = row[own]
-            rows.append((r, short[own].tobytes(), ids[at].tobytes(), sizes[at].tobytes(), marks[at].tobytes()))
+            at, place = np.unique(row[own], return_inverse=True)
+            held = [marks[i] for i in at.tolist()]
+            widths = np.array([len(m) for m in held], np.int32)
+            rows.append((r, short[own].tobytes(), place.astype(np.uint32).tobytes(), ids[at].tobytes(), sizes[at].tobytes(), b"".join(held), widths.tobytes()))
     return _table(rows, " ".join(_MEMBERS), kinds)
 
 
+class Filter:
+    """Whether two sets may be linked, by their sizes and their counts by landmark; never false for a link."""
+
+    def __init__(self, sizes: np.ndarray, marks: np.ndarray, widths: np.ndarray):
+        self.n = sizes
+        self.tier = np.where(widths > 0, np.log2(np.maximum(widths, 1) / LANDMARKS).round().astype(np.int64) // 2, -1)
+        self.counts, self.place = [], []
+        start = np.cumsum(widths) - widths
+        below = None
+        for t in range(int(self.tier.max(initial=-1)), -1, -1):  # each tier holds its own sets and the folded larger ones
+            own = np.flatnonzero(self.tier == t)
+            width = LANDMARKS * 4**t
+            counts = marks[start[own][:, None] + np.arange(width)].astype(np.uint16) if len(own) else np.zeros((0, width), np.uint16)
+            who = own
+            if below is not None:
+                folded = below[1].reshape(len(below[0]), width, 4).sum(2, dtype=np.uint16)
+                who, counts = np.concatenate([own, below[0]]), np.concatenate([counts, folded])
+            place = np.full(len(sizes), -1, np.int64)
+            place[who] = np.arange(len(who))
+            self.counts.insert(0, counts)
+            self.place.insert(0, place)
+            below = (who, counts)
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = 100 * np.minimum(self.n[i], self.n[j]) >= LEAST * np.maximum(self.n[i], self.n[j])
+        tier = np.minimum(self.tier[i], self.tier[j])
+        for t, (counts, place) in enumerate(zip(self.counts, self.place)):
+            at = np.flatnonzero(ok & (tier == t))
+            step = max(1, 8_000_000 // (LANDMARKS * 4**t))
+            for a in range(0, len(at), step):
+                x, y = i[at[a : a + step]], j[at[a : a + step]]
+                apart = np.abs(counts[place[x]].astype(np.int32) - counts[place[y]]).sum(1)
+                ok[at[a : a + step]] = (100 + LEAST) * apart <= (100 - LEAST) * (self.n[x] + self.n[y])
+        return ok
+
+
 def _components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """Least member of each one's component of the graph with the edges a-b, over labels that hold already."""
     label = np.arange(n) if label is None else label
@@ -234,55 +287,39 @@ def _components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
     return label
 
 
-def _may_link(n: np.ndarray, marks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether sizes and landmark counts allow a link; never false for a link."""
-    ok = np.zeros(len(i), bool)
-    for a in range(0, len(i), 200_000):
-        x, y = i[a : a + 200_000], j[a : a + 200_000]
-        fit = np.flatnonzero(100 * np.minimum(n[x], n[y]) >= LEAST * np.maximum(n[x], n[y]))
-        x, y = x[fit], y[fit]
-        apart = np.abs(marks[x].astype(np.int16) - marks[y]).sum(1, dtype=np.int64)
-        ok[a + fit] = (100 + LEAST) * apart <= (100 - LEAST) * (n[x] + n[y])
-    return ok
-
-
 def candidate_forest(table: pa.Table) -> pa.Table:
     """Of one range: (id, root) for every set that has candidates, with roots such that all candidates meet."""
-    col = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    keys, ids, sizes = col("keys", np.uint32), col("ids", np.int64), col("sizes", np.int32).astype(np.int64)
-    marks = col("marks", np.uint8).reshape(-1, LANDMARKS)
-    known, node = np.unique(ids, return_inverse=True)
-    order = np.lexsort((sizes, keys))
-    keys, node, sizes, marks = keys[order], node[order], sizes[order], marks[order]
+    lists = {c: table.column(c).to_pylist() for c in _MEMBERS[1:]}
+    col = lambda c, t: np.frombuffer(b"".join(lists[c]), t)
+    keys, ids, sizes, widths = col("keys", np.uint32), col("ids", np.int64), col("sizes", np.int64), col("widths", np.int32).astype(np.int64)
+    base = np.cumsum([0] + [len(x) // 8 for x in lists["ids"]])[:-1]
+    node = col("places", np.uint32).astype(np.int64) + np.repeat(base, [len(x) // 4 for x in lists["keys"]])
+    may_link = Filter(sizes, col("marks", np.uint8), widths)
+    order = np.lexsort((sizes[node], keys))
+    keys, node = keys[order], node[order]
     begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     counts = np.diff(np.append(begins, len(keys)))
-    label = np.arange(len(known))
+    label = np.arange(len(ids))
     stop = np.repeat(begins + counts, counts)
-    few = np.repeat(counts <= FEW, counts)
-    at = np.flatnonzero(few)
+    at = np.flatnonzero(np.repeat(counts <= FEW, counts))
     for k in range(1, min(FEW, int(counts.max(initial=0)))):
         at = at[at + k < stop[at]]
-        i, j = at, at + k
-        apart = label[node[i]] != label[node[j]]
+        i, j = node[at], node[at + k]
+        apart = label[i] != label[j]
         i, j = i[apart], j[apart]
-        on = _may_link(sizes, marks, i, j)
-        label = _components(len(known), node[i[on]], node[j[on]], label)
+        on = may_link(i, j)
+        label = _components(len(ids), i[on], j[on], label)
     for b, c in zip(begins[counts > FEW].tolist(), counts[counts > FEW].tolist()):
         # a common shingle: its sets in order of size, each against those its size and its component leave
-        left = np.arange(b, b + c)
-        while len(left) > 1:
-            own = label[node[left]]
-            if (own == own[0]).all():
-                break
-            p, rest = left[0], left[1:]
-            near = rest[: np.searchsorted(sizes[rest], sizes[p] * 100 // LEAST, side="right")]
-            near = near[label[node[near]] != label[node[p]]]
-            on = _may_link(sizes, marks, np.full(len(near), p), near)
-            if on.any():
-                label = _components(len(known), np.full(on.sum(), node[p]), node[near[on]], label)
-            left = rest
-    moved = np.flatnonzero(label != np.arange(len(known)))
-    return pa.table([pa.array(known[moved]), pa.array(known[label[moved]])], names=["id", "root"])
+        left = node[b : b + c]
+        while len(left) > 1 and not (label[left] == label[left[0]]).all():
+            p, left = left[0], left[1:]
+            near = left[: np.searchsorted(sizes[left], sizes[p] * 100 // LEAST, side="right")]
+            near = near[label[near] != label[p]]
+            near = near[may_link(np.full(len(near), p), near)]
+            label = _components(len(ids), np.full(len(near), p), near, label)
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return pa.table([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["id", "root"])
 
 
 class Region:
@@ -295,6 +332,9 @@ class Region:
         self.codes = codes.astype(np.int32)
         self.mark = np.zeros(int(codes.max(initial=0)) + 1, np.int8)
         self.label = np.arange(len(sets))
+        # finer landmarks than the candidates had
+        marks = [marks_of(s, tier_of(len(s)) + 1) for s in sets]
+        self.may_link = Filter(self.n, np.concatenate(marks) if marks else np.zeros(0, np.uint8), np.array([len(m) for m in marks], np.int64))
 
     def shared(self, p: int, others: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of set p with the others."""
@@ -315,6 +355,17 @@ class Region:
             self.label = _components(len(self.label), np.full(len(linked), p), linked, self.label)
         return 1 - both / union
 
+    def sweep(self, own: np.ndarray) -> None:
+        """Join the sets pair by pair, but for pairs that are joined already or that the landmarks rule out."""
+        own = own[np.argsort(self.n[own], kind="stable")]
+        for i in range(len(own) - 1):
+            rest = own[i + 1 :]
+            rest = rest[: np.searchsorted(self.n[rest], self.n[own[i]] * 100 // LEAST, side="right")]
+            rest = rest[self.label[rest] != self.label[own[i]]]
+            rest = rest[self.may_link(np.full(len(rest), own[i]), rest)]
+            if len(rest):
+                self.compare(own[i], rest)
+
     def join(self) -> np.ndarray:
         """The component (least place) of each set. Regions still to be joined are on a stack."""
         radius, todo = 1 - LEAST / 100, [np.arange(len(self.n))]
@@ -323,11 +374,7 @@ class Region:
             if len(own) < 2 or (self.label[own] == self.label[own[0]]).all():
                 continue
             if len(own) <= SMALL:
-                for i in range(len(own) - 1):
-                    rest = own[i + 1 :]
-                    rest = rest[self.label[rest] != self.label[own[i]]]
-                    if len(rest):
-                        self.compare(own[i], rest)
+                self.sweep(own)
                 continue
             p, rest = own[0], own[1:]
             to_p = self.compare(p, rest)
@@ -338,8 +385,8 @@ class Region:
             # the cells of p and q; what lies within the window of p's border is joined with q's cell too
             of_p = to_p <= to_q
             border = of_p & (to_q - to_p <= 2 * radius + 1e-9)
-            if border.sum() + (~of_p).sum() == len(other):
-                todo.append(other)
+            if border.sum() + (~of_p).sum() > 0.9 * len(other):
+                self.sweep(other)  # far from all pivots: no window narrows these
             else:
                 todo += [other[of_p], other[~of_p | border]]
         return self.label
@@ -383,12 +430,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     reps = classes.where(F.col("row") == F.col("best.row")).select("id", "n", "prefix", "marks")
     shards = max(1, -(-classed.select("rep").distinct().count() // SHARD))
-    bits = max(4, shards.bit_length())
+    bits = max(4, (shards // 4).bit_length())
     by_shard = common.staged(reps.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "reps").groupBy("shard")
     told = by_shard.applyInArrow(lambda t: keys_of(t, bits), "range int, shard int, keys binary")
     told = told.groupBy("range").applyInArrow(shared_keys, "shard int, range int, keys binary")
     members = by_shard.cogroup(told.groupBy("shard")).applyInArrow(
-        lambda t, k: members_of(t, k, bits), "range int, keys binary, ids binary, sizes binary, marks binary"
+        lambda t, k: members_of(t, k, bits), "range int, keys binary, places binary, ids binary, sizes binary, marks binary, widths binary"
     )
     regions = components(members.groupBy("range").applyInArrow(candidate_forest, "id long, root long"))
 

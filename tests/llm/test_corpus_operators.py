@@ -114,7 +114,8 @@ def test_region_recursion_is_exact():
     sets = []
     for _ in range(120):
         s = seeds[rng.integers(6)]
-        sets.append(np.unique(np.concatenate([s[rng.random(len(s)) > rng.random() * 0.25], rng.integers(0, 4000, rng.integers(0, 12))])))
+        own = np.concatenate([s[rng.random(len(s)) > rng.random() * 0.25], rng.integers(0, 4000, rng.integers(0, 12))])
+        sets.append(np.unique(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     root = list(range(len(sets)))
     for _ in range(20):
         for a, b in itertools.combinations(range(len(sets)), 2):
