@@ -4,9 +4,9 @@ The tree is fitted on a bounded sample (SAMPLE vectors of lowest hashes). Every
 leaf it descends to. A query descends too, keeps the branches it did not take in a priority queue ordered by the
 distance to their centres, and visits leaves from the queue. How many it visits is calibrated: for a bounded set of
 queries the true neighbours are found by brute force over all rows (the stated queries against all rows, in blocks), and
-visits widen until TARGET of them are found. Queries and vectors meet by (leaf, block): a leaf is cut into blocks of at
-most BLOCK vectors by its counted size, so that a leaf with a third of all rows is many tasks' work; per block only a
-query's best k go on.
+visits widen until TARGET of them are found. Queries and vectors meet by (bin, block): neighbouring leaves share a bin of about
+BLOCK vectors, and a leaf of more is cut into blocks by its counted size, so that a leaf with a third of all rows is many
+tasks' work; per block only a query's best k among the leaves it visits go on.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold null or non-finite components take
 no part, as queries or candidates; equal distances are ordered by the smaller identifier; rows that repeat an identifier
@@ -103,21 +103,40 @@ def n_leaves(tree) -> int:
     return max((-c for _, cs in tree for c in cs if c < 0), default=1)
 
 
+def packed(sizes: dict[int, int], leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin of each leaf, blocks of each bin): neighbouring leaves share a bin of about BLOCK vectors; a leaf of more than
+    BLOCK has a bin of its own, in several blocks."""
+    bins, blocks, held = np.zeros(leaves, np.int64), [1], 0
+    for leaf in range(leaves):
+        n = sizes.get(leaf, 0)
+        if held and held + n > BLOCK:
+            blocks.append(1)
+            held = 0
+        bins[leaf], held = len(blocks) - 1, held + n
+        blocks[-1] = max(1, -(-held // BLOCK))
+    return bins, np.array(blocks, np.int64)
+
+
 def _matrix(column) -> np.ndarray:
     return np.array(column.tolist(), np.float64) if len(column) else np.zeros((0, 0))
 
 
-def _best(q_ids, q, v_ids, v, k: int) -> pd.DataFrame:
-    """Each query's k nearest of these vectors, by distances in double precision; a query never finds its own id."""
+def _best(q_ids, q, v_ids, v, k: int, allowed=None) -> pd.DataFrame:
+    """Each query's k nearest of these vectors, by distances in double precision; a query never finds its own id.
+
+    ``allowed(i)``: booleans, the vectors that query i visits."""
     out = []
     step = max(1, 4_000_000 // max(1, v.size))
-    for a in range(0, len(q_ids), step):
+    for a in range(0, len(q_ids) if len(v_ids) else 0, step):
         d = np.sqrt(((q[a : a + step, None, :] - v[None]) ** 2).sum(2))
         d[q_ids[a : a + step, None] == v_ids[None]] = np.inf
         for i in range(len(d)):
-            near = np.flatnonzero(d[i] <= np.partition(d[i], min(k, len(v_ids)) - 1)[min(k, len(v_ids)) - 1])
-            near = near[np.lexsort((v_ids[near], d[i][near]))][:k]
+            if allowed is not None:
+                d[i][~allowed(a + i)] = np.inf
+            last = min(k, len(v_ids)) - 1
+            near = np.flatnonzero(d[i] <= np.partition(d[i], last)[last])
             near = near[np.isfinite(d[i][near])]
+            near = near[np.lexsort((v_ids[near], d[i][near]))][:k]
             out.append((np.full(len(near), q_ids[a + i]), v_ids[near], d[i][near]))
     if not out:
         return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -143,11 +162,13 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 
 def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v) of the vectors that take part."""
+    """(vec_id, v) of the vectors that take part; of several lengths the most frequent one."""
     v = F.col(vec_col).cast("array<double>")
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(fine & F.exists("v", lambda x: x != 0))
+    rows = rows.where(fine & F.exists("v", lambda x: x != 0))
+    dim = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return rows.where(F.size("v") == (dim.n if dim else 0))
 
 
 def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", target: float = TARGET) -> DataFrame:
@@ -155,10 +176,6 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     spark = table.sparkSession
     common.ship(spark)
     rows = usable(table, id_col, vec_col)
-    dim = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if dim is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == dim.n)
     hashed = F.xxhash64(F.lit(10), "vec_id", "v")
     picked = rows.orderBy(hashed, "vec_id").limit(SAMPLE).collect()
     tree = fit_tree(np.array([r.v for r in picked]))
@@ -175,26 +192,33 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     q_ids, q = np.array([r.vec_id for r in trial]), np.array([r.v for r in trial])
     visits = _calibrated(placed, tree, q_ids, q, k, target)
 
-    counts = placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    # the tree has at most SAMPLE leaves, so this table is bounded
-    sized = placed.join(F.broadcast(counts), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int"))
+    # the tree has at most SAMPLE leaves, so their sizes are a bounded table
+    sizes = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    bins, blocks = packed(sizes, n_leaves(tree))
 
-    def visit(batches):
+    def deal(batches):
         for b in batches:
-            own = [best_bins(tree, v, visits) for v in _matrix(b["v"])]
-            yield b.drop(columns=["leaf"]).assign(leaves=own)
+            leaf = b["leaf"].to_numpy(np.int64)
+            own = pd.util.hash_array(b["vec_id"].to_numpy(np.int64)) % blocks[bins[leaf]].astype(np.uint64)
+            yield b.assign(bin=bins[leaf], block=own.astype(np.int64))
 
-    visiting = asked.mapInPandas(visit, "vec_id long, v array<double>, leaves array<long>")
-    visiting = visiting.select("vec_id", "v", F.explode("leaves").alias("leaf")).join(F.broadcast(counts), "leaf")
-    visiting = visiting.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    def visit(batches):
+        for b in batches:
+            rows = []
+            for i, v in zip(b["vec_id"], b["v"]):
+                seen = np.array(best_bins(tree, np.asarray(v, np.float64), visits), np.int64)
+                at = bins[seen]
+                rows += [(i, v, x, y, seen[at == x]) for x in np.unique(at) for y in range(blocks[x])]
+            yield pd.DataFrame(rows, columns=["vec_id", "v", "bin", "block", "leaves"])
 
     def meet(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(vectors) or not len(queries):
-            return _best([], None, None, np.zeros((0, 1)), k)
-        return _best(queries["vec_id"].to_numpy(np.int64), _matrix(queries["v"]), vectors["vec_id"].to_numpy(np.int64), _matrix(vectors["v"]), k)
+        q, v = _matrix(queries["v"]), _matrix(vectors["v"])
+        leaf, seen = vectors["leaf"].to_numpy(np.int64), queries["leaves"].tolist()
+        return _best(queries["vec_id"].to_numpy(np.int64), q, vectors["vec_id"].to_numpy(np.int64), v, k, lambda i: np.isin(leaf, seen[i]))
 
-    keys = ["leaf", "block"]
-    found = sized.select("vec_id", "v", *keys).groupBy(*keys).cogroup(visiting.select("vec_id", "v", *keys).groupBy(*keys)).applyInPandas(meet, _FOUND)
+    dealt = placed.mapInPandas(deal, "vec_id long, v array<double>, leaf long, bin long, block long").groupBy("bin", "block")
+    visiting = asked.mapInPandas(visit, "vec_id long, v array<double>, bin long, block long, leaves array<long>").groupBy("bin", "block")
+    found = dealt.cogroup(visiting).applyInPandas(meet, _FOUND)
     return _top(found, k).select("query_id", "rank", "vec_id", "score")
 
 
