@@ -12,6 +12,8 @@ lose no link:
 3. Each region is joined exactly: two pivots (a set and the one farthest from it) split it into Voronoi cells, the sets
    whose distances to the pivots differ by at most twice the radius are replicated into the other cell's join, and the
    cells are joined recursively until they are small or all one component. Distances are exact intersections of sets.
+   A region of more than REGION sets is cut into blocks, each two of which are joined by a task of their own; only their
+   components, not their pairs, come back, and the components of these are the region's.
 
 Edge cases: null and empty texts and texts of white space have no shingles and are linked with nothing; a text of under
 five words is one shingle; a null identifier stays unlinked with a null component; rows that repeat an identifier or a
@@ -39,6 +41,8 @@ LANDMARKS, CROWDED = 64, 16
 SAMPLE, OFTEN, FREQUENT = 4000, 4, 200_000
 #: Classes in a shard.
 SHARD = 6000
+#: Sets of a region that one task joins; a larger region is cut into blocks of half as many, joined two by two.
+REGION = 1000
 #: Sets up to which candidates or a region are compared pair by pair.
 FEW, SMALL = 48, 12
 _U = np.uint64
@@ -439,9 +443,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     regions = components(members.groupBy("range").applyInArrow(candidate_forest, "id long, root long"))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(regions.withColumnRenamed("id", "rep"), "rep")
-    joined = texts.dropDuplicates(["rep"]).groupBy("root").applyInArrow(join_region, "rep long, component long")
-    joined = common.staged(joined.where("rep <> component"), "components")
+    sizes = common.staged(regions.groupBy("root").agg(F.count("*").alias("size")), "regions")
+    blocks = F.when(F.col("size") > REGION, F.ceil(F.col("size") / (REGION // 2))).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(4), "id"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("own")) | (F.col("blocks") == 1))
+    placed = regions.join(sizes, "root").withColumn("blocks", blocks).withColumn("own", own)
+    placed = placed.select(F.col("id").alias("rep"), "root", "own", others.alias("others"))
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(placed, "rep").dropDuplicates(["rep"])
+    met = texts.withColumn("other", F.explode("others")).select("rep", "text", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    joined = common.staged(met.groupBy("root", "x", "y").applyInArrow(join_region, "rep long, component long").where("rep <> component"), "components")
+    if sizes.where(F.col("size") > REGION).limit(1).count():
+        joined = components(joined.select(F.col("rep").alias("id"), F.col("component").alias("root"))).select(F.col("id").alias("rep"), F.col("root").alias("component"))
     linked = classed.join(joined, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     rest = made.where("n = 0 or id is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked.unionByName(rest)

@@ -95,9 +95,10 @@ def sets_of(rows):
     return out
 
 
-@pytest.mark.parametrize("shard", [8, 10**6])
-def test_jaccard_join(spark, corpus, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "region"), [(8, 1000), (10**6, 6)])
+def test_jaccard_join(spark, corpus, monkeypatch, shard, region):
     monkeypatch.setattr(jaccard_join, "SHARD", shard)
+    monkeypatch.setattr(jaccard_join, "REGION", region)
     sets = sets_of(corpus)
     root = {i: i for i in sets}
     for _ in sets:
