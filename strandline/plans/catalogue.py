@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define ``QUERIES: dict[str, tuple[callable, str | None]]``.
-MODULES = ["strandline.plans.daylog_queries", "strandline.plans.record_queries", "strandline.plans.function_queries", "strandline.plans.composite_queries"]
+MODULES = ["strandline.plans.daylog_queries", "strandline.plans.record_queries", "strandline.plans.function_queries", "strandline.plans.composite_queries", "strandline.plans.lifecycle_queries"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
