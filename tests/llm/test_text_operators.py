@@ -86,6 +86,17 @@ def test_main_text_by_structure(spark):
     assert main_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_blocks_of_a_full_page():
+    page = (
+        '<header class="top"><form>Search</form></header><div role="navigation">Home</div><div class="cookie-notice">We</div><main><div class="breadcrumbs">a</div>'
+        '<article class="post"><h2>Title &#233; &lt;x&gt;</h2><p>First <em>para</em>graph&nbsp;he<script>"</p>"</script>re<img src=x>.<p>Second<div class=advert>ADV</div>'
+        "<table><tr><td>c1<td>c2</tr></table><pre> code\n x</pre><!-- <p>no</p> --><figcaption>Cap</figcaption><ul><li>one<li>two</ul><aside>No</aside>"
+        '<section id="comments"><article class="comment">rude</article></section><p hidden>no</p></article><div class="sidebar">No</div></main><footer>No</footer>'
+    )
+    assert main_text.structured(main_text.blocks(page)) == "Title é <x> First paragraph here. Second c1 c2 code x Cap one two"
+    assert main_text.blocks("<p>a &amp &#x41; &bogus; < 3")[0] == ("open", "a & A &bogus; < 3")
+
+
 def test_main_text_by_host(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
