@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from strandline.llm import common
 
 #: Labelled rows of each class that the model is fitted on, at most.
-SAMPLE = 4000
+SAMPLE = 3000
 #: Hash space of the features.
-SPACE = 1 << 22
+SPACE = 1 << 21
 #: Lengths of the word beginnings that are features beside the whole word.
 BEGINNINGS = (3, 4, 5, 6)
 #: Least z of a kept feature's difference in presence between toxic and other rows.
@@ -36,8 +36,10 @@ LEAST_Z = 4.0
 BANDS = 12
 #: A document is toxic if P(grade > 0) is at least this.
 THRESHOLD = 0.3
+#: What evidence must add to the probability of a document without features.
+MARGIN = 0.05
 #: Words a scoring worker remembers.
-CACHE = 500_000
+CACHE = 200_000
 
 _WORD = re.compile(r"\w+")
 
@@ -88,18 +90,20 @@ def _without_copies(starts, ids, counts, words, toxic):
     n = len(toxic)
     if n < 2:
         return starts, ids, counts, words, toxic
-    row = np.repeat(np.arange(n), np.diff(starts))
-    rare = np.bincount(ids, minlength=SPACE) <= max(2, n // 20)
-    on = rare[ids]
-    rng, big = np.random.default_rng(6), np.uint64(2**64 - 1)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
+    on = (np.bincount(ids, minlength=SPACE) <= max(2, n // 20))[ids]
+    own, sizes = ids[on].astype(np.uint32), np.bincount(row[on], minlength=n)
+    some = np.flatnonzero(sizes)
+    begin = (np.cumsum(sizes) - sizes)[some]
+    rng, big = np.random.default_rng(6), np.uint32(2**32 - 1)
     seen: set = set()
     keys = []
     for _ in range(2 * BANDS):
-        h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(int(rng.integers(2**63)) | 1)
-        h ^= h >> np.uint64(32)
-        h = np.where(on, h * np.uint64(0x9E3779B97F4A7C15), big)
+        h = (own + np.uint32(1)) * np.uint32(int(rng.integers(2**31)) * 2 + 1)
+        h ^= h >> np.uint32(16)
+        h *= np.uint32(0x9E3779B1)
         low = np.full(n, big)
-        np.minimum.at(low, row, h)
+        low[some] = np.minimum.reduceat(h, begin) if len(some) else big
         keys.append(low)
     keep = np.ones(n, bool)
     for i in range(n):
@@ -156,6 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return {"weights": dict(zip(kept.tolist(), w.tolist())), "thresholds": (float(params[-2]), float(params[-2] + np.exp(params[-1])))}
 
 
+def decision(model: dict, threshold: float) -> float:
+    """The P(grade > 0) from which a document is toxic: the threshold, and in any case MARGIN over what a document without
+    any feature gets, which is high where few rows are labelled."""
+    return max(threshold, float(1 / (1 + np.exp(model["thresholds"][0]))) + MARGIN)
+
+
 def _scorer(model: dict):
     """texts -> (P(grade > 0), expected severity); remembers the features of a bounded number of words."""
     weights, (t1, t2) = model["weights"], model["thresholds"]
@@ -182,7 +192,7 @@ def _scorer(model: dict):
 def toxicity(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, p_toxic, severity (expected grade, 0 to 2), toxic."""
     common.ship(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, threshold = docs.schema["doc_id"].dataType.simpleString(), decision(model, threshold)
 
     def run(batches):
         score = _scorer(model)
@@ -196,7 +206,7 @@ def toxicity(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
 def reject_toxic(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not toxic, with all their columns; no shuffle and no join."""
     common.ship(docs.sparkSession)
-    at = docs.columns.index("text")
+    at, threshold = docs.columns.index("text"), decision(model, threshold)
 
     def run(batches):
         score = _scorer(model)
