@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import common, pretokens
@@ -37,6 +38,19 @@ def compiled(path: str) -> tuple[Merger, list[bytes]]:
     return from_ranks(ranks), table
 
 
+def _slices(batch: pa.RecordBatch, column: int):
+    """The batch in slices of about BATCH_CODEPOINTS of text: what a task holds doesn't follow the rows of a batch."""
+    a, size = 0, 0
+    sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
+    for b, n in enumerate(sizes):
+        if b > a and size + n > 2 * BATCH_CODEPOINTS:
+            yield batch.slice(a, b - a)
+            a, size = b, 0
+        size += n
+    if a < len(sizes):
+        yield batch.slice(a)
+
+
 def encode(texts: list[str], path: str):
     """For each text: (ids as uint32, byte offset of each id in the text)."""
     merger, table = compiled(path)
@@ -70,7 +84,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b, 1)):
             got = list(encode([t or "" for t in batch.column(1).to_pylist()], path))
             ids = pa.array([x.astype(np.int32) for x, _ in got], pa.list_(pa.int32()))
             offsets = pa.array([y for _, y in got], pa.list_(pa.int64()))
@@ -98,7 +112,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b, 1)):
             n, ids_sha, text_sha = [], [], []
             for ids, _ in encode([t or "" for t in batch.column(1).to_pylist()], path):
                 n.append(len(ids))
@@ -119,7 +133,7 @@ def bpe_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b, 1)):
             ids, sha = [], []
             for x, _ in encode([t or "" for t in batch.column(1).to_pylist()], path):
                 ids.append(x.astype(np.int32))

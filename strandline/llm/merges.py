@@ -19,7 +19,7 @@ class Merger:
     cached: a worker's memory is bounded by ``limit`` pieces whatever the corpus holds.
     """
 
-    def __init__(self, first: list[int], pairs: dict[tuple[int, int], int], result: np.ndarray, whole: dict | None = None, counts: bool = False, limit: int = 700_000):
+    def __init__(self, first: list[int], pairs: dict[tuple[int, int], int], result: np.ndarray, whole: dict | None = None, counts: bool = False, limit: int = 200_000):
         self.first = np.array(first, np.int32)
         self.result, self.whole, self.counts, self.limit = result.astype(np.int32), whole or {}, counts, limit
         keys = np.fromiter((a << 32 | b for a, b in pairs), np.int64, len(pairs))
