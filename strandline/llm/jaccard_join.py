@@ -71,6 +71,20 @@ def _tables(n: int):
     return letters, powers, inverse
 
 
+def _word_digests(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A digest per word: differences of prefix sums of byte numbers times powers, over stretches of about 2^20 bytes."""
+    out, i = np.empty(len(begin), _U), 0
+    while i < len(begin):
+        at = begin[i]
+        j = max(i + 1, int(np.searchsorted(stop, at + (1 << 20), side="right")))
+        own = data[at : stop[j - 1]]
+        letters, powers, inverse = _tables(1 << max(20, len(own).bit_length()))
+        total = np.concatenate([[_U(0)], np.cumsum(letters[own] * powers[: len(own)], dtype=_U)])
+        out[i:j] = _mixed((total[stop[i:j] - at] - total[begin[i:j] - at]) * inverse[begin[i:j] - at])
+        i = j
+    return out
+
+
 def shingles(texts: list) -> list[np.ndarray]:
     """The sorted distinct shingle digests of each text; whole texts, in groups of about a million bytes."""
     out: list[np.ndarray] = []
@@ -86,9 +100,7 @@ def shingles(texts: list) -> list[np.ndarray]:
         white = (data == 32) | ((data >= 9) & (data <= 13))
         edge = np.flatnonzero(np.diff(np.concatenate([[True], white]).astype(np.int8)))
         begin, stop = edge[::2], edge[1::2]
-        letters, powers, inverse = _tables(1 << max(20, int(len(data)).bit_length()))
-        total = np.concatenate([[_U(0)], np.cumsum(letters[data] * powers[: len(data)], dtype=_U)])
-        word = _mixed((total[stop] - total[begin]) * inverse[begin])
+        word = _word_digests(data, begin, stop)
         bound = np.searchsorted(begin, np.cumsum([0] + [len(x) + 1 for x in raw[a:b]]))
         n = max(0, len(word) - WORDS + 1)
         every = np.zeros(n, _U)

@@ -9,7 +9,7 @@ from strandline.functions import repair, text
 from strandline.operators import folds, ledgers, stagegraph
 from strandline.plans.record_queries import E, _events
 from strandline.sources import files
-from strandline.sources.tables import table
+from strandline.sources.tables import shared_folder, stream, table
 from strandline.streaming import claims
 
 
@@ -47,6 +47,29 @@ def continuity_totals(spark, d):
     return claims.continuity_batch(e)
 
 
+def continuity_streamed(spark, d):
+    """The table's files as a stream through keyed state; the last row of each stream is its total."""
+    e = stream(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.get_json_object("props", "$.k").cast("long").alias("sequence"), F.col("event_type").alias("chunk_id"), F.col("event_id").alias("at"))
+    out = shared_folder(spark)
+    write = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/batch_id={n}")
+    q = claims.continuity_stream(e).writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows").drop("batch_id")
+    last = rows.withColumn("_r", F.row_number().over(W.partitionBy("stream_id").orderBy(F.desc("batch")))).where("_r = 1")
+    return last.drop("_r", "batch")
+
+
+def claims_streamed(spark, d):
+    """Claim verdicts from the stream, counted."""
+    e = stream(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = e.select(F.concat_ws(":", F.col("user_id").cast("string"), (k % 10).cast("string")).alias("chunk_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") < 7000, "v1").otherwise("v2").alias("version"), (F.col("event_type") != "error").alias("ok"))
+    out = shared_folder(spark)
+    q = claims.claims_stream(rows).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("verdict").agg(F.count("*").alias("n"), F.max("heals").alias("most"))
+
+
 def near_repeats(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(60)).alias("text"))
     return folds.drop_near_repeats(c, "conv_id", "turn", "text", 0.6)
@@ -129,6 +152,12 @@ def rolled_up_days(spark, d):
 
 _DEL = E + ", v as (select user_id || ':' || k % 10 as chunk_id, event_id as seq, case when event_id < 7000 then 'v1' else 'v2' end as version, event_type <> 'error' as ok from e) "
 
+_CONTINUITY = E + """, a as (select user_id, k, event_type, row_number() over w as rn, first_value(event_type) over w as f from e window w as (partition by user_id, k order by event_id)),
+        u as (select distinct user_id, k from e), i as (select *, k - row_number() over (partition by user_id order by k) as g from u), r as (select user_id, min(k) as lo, max(k) as hi from i group by user_id, g),
+        t as (select user_id, string_agg(lo || '-' || hi, ',' order by lo) as runs from r group by 1)
+        select a.user_id as stream_id, count(distinct k) as received, count(*) filter (rn > 1 and event_type = f) as duplicates, count(*) filter (rn > 1 and event_type <> f) as conflicts, max(k) as max_sequence, any_value(runs) as runs
+        from a join t using (user_id) group by 1"""
+
 QUERIES = {
     "enriched": (enriched, E + """select event_id, true as record_ok, 'align@v1+asr@v1+diarize@v2+tags@v1' as pipeline_version, case when k % 3 <> 0 then 'ok' else 'failed' end as diarization,
         case when k % 3 <> 0 then 'S' || k % 4 || ': ' || event_type end as transcript, case when k % 3 <> 0 then 'ok' else 'cancelled' end as transcript_status,
@@ -136,11 +165,9 @@ QUERIES = {
     "stage_holes": (stage_holes, E + """, s as (select 'diarization' as slot, 'failed' as status from e where k % 3 = 0 union all select 'transcript', 'cancelled' from e where k % 3 = 0
         union all select 'acoustic', 'failed' from e where event_type = 'view' or length(event_type) + 8 > 18) select slot, status, count(*) as n from s group by 1, 2"""),
     "claim_verdicts": (claim_verdicts, None),
-    "continuity_totals": (continuity_totals, E + """, a as (select user_id, k, event_type, row_number() over w as rn, first_value(event_type) over w as f from e window w as (partition by user_id, k order by event_id)),
-        u as (select distinct user_id, k from e), i as (select *, k - row_number() over (partition by user_id order by k) as g from u), r as (select user_id, min(k) as lo, max(k) as hi from i group by user_id, g),
-        t as (select user_id, string_agg(lo || '-' || hi, ',' order by lo) as runs from r group by 1)
-        select a.user_id as stream_id, count(distinct k) as received, count(*) filter (rn > 1 and event_type = f) as duplicates, count(*) filter (rn > 1 and event_type <> f) as conflicts, max(k) as max_sequence, any_value(runs) as runs
-        from a join t using (user_id) group by 1"""),
+    "continuity_totals": (continuity_totals, _CONTINUITY),
+    "continuity_streamed": (continuity_streamed, _CONTINUITY),
+    "claims_streamed": (claims_streamed, None),
     "near_repeats": (near_repeats, None),
     "change_frames": (change_frames, None),
     "carve_points": (carve_points, None),

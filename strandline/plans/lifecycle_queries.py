@@ -196,7 +196,7 @@ QUERIES = {
     "frame_counts": (frame_counts, "select p_partkey, cast(greatest(2, least(10, ceil(p_size / 4.0::double))) as integer) as n_frames from part"),
     "change_classes": (change_classes, "select p_partkey, case when p_size < 8 then 'IDLE' when p_partkey % 10 / 10.0::double > 0.35 then 'LAYOUT' else 'TEXT' end as kind from part"),
     "retry_delays": (retry_delays, E + "select event_id, least(30.0::double, 0.5::double * pow(2.0::double, k % 8)) as delay from e"),
-    "windowed_rms": (windowed_rms, None),
+    "windowed_rms": (windowed_rms, "select event_id // 20 as hop, round(sqrt(sum(cast(round(value) as bigint) * cast(round(value) as bigint)) / count(*)), 6) as rms from events group by 1"),
     "quiet_threshold": (quiet_threshold, "select p_brand, greatest(20.0::double, 2.5::double * quantile_cont(p_size::double, 0.2)) as threshold from part group by 1"),
     "quality_gate": (quality_gate, "select doc_id, quality from documents left join labels using (doc_id) where quality is null or quality >= 1"),
     "block_quality": (block_quality, "select source, min(quality) as quality, max(n_chars) as longest, count(*) filter (n_chars > 6000) as over_cap, count(*) as n from documents left join labels using (doc_id) group by 1"),
