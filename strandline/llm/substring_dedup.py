@@ -39,6 +39,8 @@ from strandline.llm import common, suffixes
 WIDTH, GRAM = 50, 24
 #: Bytes of text in a shard, about; positions in a shard have 24 bits or as many as its size needs.
 BLOCK = 6_000_000
+#: Positions hashed at a time.
+SLICE = 1 << 14
 LEAST_ID = -(2**63)
 _U = np.uint64
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -53,7 +55,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """The texts of a shard as one byte array, in order of identifier, with hashes of 8 bytes at every position."""
+    """The texts of a shard as one byte array, in order of identifier, with the 8 bytes at every position as a number."""
 
     def __init__(self, table: pa.Table):
         ids = np.array([LEAST_ID if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
@@ -70,10 +72,6 @@ class Shard:
         self.bytes = np.frombuffer(self.data, np.uint8)
         self.eights = np.ndarray((self.n + 56,), "<u8", self.data, 0, (1,))
 
-    def hashes(self) -> np.ndarray:
-        """Mixed 8-byte words at every position."""
-        return _mixed(self.eights)
-
     def valid(self) -> np.ndarray:
         """Whether a window may start here: WIDTH bytes are left in the document."""
         ok = np.zeros(self.n + 1, np.int8)
@@ -84,20 +82,27 @@ class Shard:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts of windows, position of each one's anchor, hash of the gram at every position)."""
-        m, n = self.hashes(), self.n
-        h = m[:n] * _MIX[2] + m[8 : n + 8] * _MIX[3] + m[16 : n + 16] * _MIX[4]
-        h ^= h >> _U(31)
-        h *= _MIX[5]
+        n, span = self.n, WIDTH - GRAM + 1
         bits = _U(max(24, n.bit_length()))
-        low = (h >> bits << bits) | np.arange(n, dtype=_U)
-        span, have = WIDTH - GRAM + 1, 1
-        while have < span:  # least of `have` neighbours, doubling
-            step = min(have, span - have)
-            if step < n:
-                low[: n - step] = np.minimum(low[: n - step], low[step:])
-            have += step
+        every, least = np.empty(n, _U), np.empty(n, _U)
+        for a in range(0, n, SLICE):  # slices that stay in a core's cache
+            b = min(n, a + SLICE)
+            far = min(n, b + span - 1)
+            m = _mixed(self.eights[a : far + 16])
+            h = m[:-16] * _MIX[2] + m[8:-8] * _MIX[3] + m[16:] * _MIX[4]
+            h ^= h >> _U(31)
+            h *= _MIX[5]
+            every[a:b] = h[: b - a]
+            low = (h >> bits << bits) | np.arange(a, far, dtype=_U)
+            have = 1
+            while have < span:  # least of `have` neighbours, doubling
+                step = min(have, span - have)
+                if step < len(low):
+                    low[:-step] = np.minimum(low[:-step], low[step:])
+                have += step
+            least[a:b] = low[: b - a]
         starts = np.flatnonzero(self.valid())
-        return starts, (low[starts] & ((_U(1) << bits) - _U(1))).astype(np.int64), h
+        return starts, (least[starts] & ((_U(1) << bits) - _U(1))).astype(np.int64), every
 
     def windows(self, at: np.ndarray, salt: int = 0) -> np.ndarray:
         """64-bit digests of the windows that start at ``at``."""
@@ -110,6 +115,40 @@ class Shard:
         return h
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    return _steps(np.sort(values))
+
+
+def _classes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values ascending, first place of each, class of each place, size of each class)."""
+    if not len(values):
+        none = np.zeros(0, np.int64)
+        return values, none, none, none
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    begins = np.flatnonzero(new)
+    cls = np.empty(len(values), np.int64)
+    cls[order] = np.cumsum(new) - 1
+    return ordered[begins], np.minimum.reduceat(order, begins), cls, np.diff(np.append(begins, len(values)))
+
+
+def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the ascending ones."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
+def _covered(at: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` bytes lie in a window that starts at one of ``at``."""
+    start = np.zeros(n + WIDTH, np.int32)
+    start[at + WIDTH] = 1
+    total = np.cumsum(start, dtype=np.int32)
+    return total[WIDTH:] != total[:n]
+
+
 def _steps(ascending: np.ndarray) -> np.ndarray:
     """The distinct values of an ascending array; anchors ascend with their windows."""
     return ascending[np.concatenate([[True], ascending[1:] != ascending[:-1]])] if len(ascending) else ascending
@@ -141,7 +180,7 @@ def _kind(table: pa.Table, *kinds: int) -> pa.Table:
 def _split(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(stable order by the top ``bits`` bits, bounds of each range in it)."""
     top = (values >> _U(64 - bits)).astype(np.int64)
-    order = np.argsort(top, kind="stable")
+    order = np.argsort(top.astype(np.uint16) if bits <= 16 else top, kind="stable")
     return order, np.searchsorted(top[order], np.arange((1 << bits) + 1))
 
 
@@ -154,7 +193,7 @@ def anchors_of(table: pa.Table, bits: int) -> pa.Table:
         return _bytes([], "range block keys", [_I, _I, _B])
     block = table.column("block")[0].as_py()
     _, where, h = Shard(table).anchors()
-    own = np.unique(h[_steps(where)])
+    own = _distinct(h[_steps(where)])
     order, bound = _split(own, bits)
     keys = (own[order] << _U(bits) >> _U(32)).astype(np.uint32)
     return _bytes([(r, block, keys[a:b].tobytes()) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:])) if b > a], "range block keys", [_I, _I, _B])
@@ -164,10 +203,10 @@ def shared_anchors(table: pa.Table) -> pa.Table:
     """Of one range: each shard's anchors that other shards have too."""
     blocks, ranges = table.column("block").to_pylist(), table.column("range").to_pylist()
     arrays = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
-    distinct = [np.unique(a) for a in arrays]
+    distinct = [_distinct(a) for a in arrays]
     every = np.sort(np.concatenate(distinct)) if distinct else np.zeros(0, np.uint32)
-    several = np.unique(every[1:][every[1:] == every[:-1]])
-    rows = [(b, r, a[np.isin(a, several, assume_unique=True)].tobytes()) for b, r, a in zip(blocks, ranges, distinct)]
+    several = _steps(every[1:][every[1:] == every[:-1]])
+    rows = [(b, r, a[_among(a, several)].tobytes()) for b, r, a in zip(blocks, ranges, distinct)]
     return _bytes([x for x in rows if x[2]], "block range keys", [_I, _I, _B])
 
 
@@ -191,22 +230,22 @@ class Stretches:
         anchor, lo, hi = h[where[cut]], starts[cut], starts[last]
         doc = np.searchsorted(shard.ends, lo, side="right")
         # an anchor of several documents of this shard counts as shared too
-        order = np.argsort(anchor, kind="stable")
-        same = anchor[order][1:] == anchor[order][:-1]
-        apart = same & (doc[order][1:] != doc[order][:-1])
-        own = np.zeros(len(anchor), bool)
-        own[order[1:][apart]] = own[order[:-1][apart]] = True
-        on = np.isin(anchor >> _U(32 - bits), shared) | np.isin(anchor, np.unique(anchor[own]))
+        order = np.argsort(anchor)
+        ordered, docs = anchor[order], doc[order]
+        same = ordered[1:] == ordered[:-1]
+        several = _steps(ordered[1:][same & (docs[1:] != docs[:-1])])
+        on = np.empty(len(anchor), bool)
+        on[order] = _among(ordered >> _U(32 - bits), np.sort(shared)) | _among(ordered, several)
         self.lo, self.hi, self.anchor, self.doc = lo[on], hi[on], anchor[on], shard.ids[doc[on]]
         digest = shard.windows(self.lo) * _MIX[6] + shard.windows(self.hi, 1) * _MIX[3] + (self.hi - self.lo).astype(_U)
         digest ^= digest >> _U(30)
         digest *= _MIX[1]
-        self.digest, self.first, self.cls = np.unique(digest, return_index=True, return_inverse=True)
+        self.digest, self.first, self.cls, _ = _classes(digest)
 
     def hashed(self, bits: int):
         """For the anchors' exchange: (32-bit key in its range, range order, bounds, fold of the class or 0 if several)."""
         anchor = self.anchor[self.first]
-        own, begin, count = np.unique(anchor, return_index=True, return_counts=True)
+        own, begin, _, count = _classes(anchor)
         fold = np.where(count > 1, 0, (self.digest[begin] >> _U(33)).astype(np.int64) + 1).astype(np.uint32)
         order, bound = _split(own, bits)
         return own, (own << _U(bits) >> _U(32)).astype(np.uint32), fold, order, bound
@@ -234,7 +273,7 @@ def stretches_of(texts: pa.Table, told: pa.Table, bits: int) -> pa.Table:
 def _merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted runs merged: (distinct keys, least value, greatest value)."""
     every, value = np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     every, value = every[order], value[order]
     begins = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
     return every[begins], np.minimum.reduceat(value, begins), np.maximum.reduceat(value, begins)
@@ -270,10 +309,7 @@ def _verdicts(told: pa.Table, kind: int, order: np.ndarray, bound: np.ndarray) -
 
 def classes_of(shard: Shard, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(class of each window, first window of each class) of ascending window starts, by a suffix array."""
-    covered = np.zeros(shard.n + WIDTH + 1, np.int32)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + WIDTH, -1)
-    kept = np.flatnonzero(np.cumsum(covered)[: shard.n] > 0)
+    kept = np.flatnonzero(_covered(at, shard.n))
     text = shard.bytes[kept]
     eights = np.ndarray((len(text),), ">u8", text.tobytes() + bytes(8), 0, (1,)).astype(_U)
     sa, _ = suffixes.suffix_array(eights, 8, WIDTH)
@@ -281,7 +317,7 @@ def classes_of(shard: Shard, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     group = np.empty(len(kept), np.int64)
     group[sa] = np.cumsum(lcp < WIDTH)
     own = group[np.searchsorted(kept, at)]
-    _, first, cls = np.unique(own, return_index=True, return_inverse=True)
+    _, first, cls, _ = _classes(own)
     by = np.argsort(first)
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
@@ -344,7 +380,7 @@ def removed(texts: pa.Table, told: pa.Table, wide: int) -> pa.Table:
     if not texts.num_rows:
         return _bytes([], names, kinds)
     shard = Shard(texts)
-    gone = np.zeros(shard.n + WIDTH + 1, np.int32)
+    hits = np.zeros(0, np.int64)
     local = [x for x in told.column("local").to_pylist() if x is not None]
     if local:
         n0, n1, n2, _ = np.frombuffer(local[0][:16], np.int32).tolist()
@@ -357,9 +393,7 @@ def removed(texts: pa.Table, told: pa.Table, wide: int) -> pa.Table:
                 own = order[bound[r] : bound[r + 1]]
                 verdict[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
         hits = np.concatenate([settled, later, firsts[verdict], more[verdict[more[:, 1]], 0].astype(np.int64)])
-        np.add.at(gone, hits, 1)
-        np.add.at(gone, hits + WIDTH, -1)
-    mask = np.cumsum(gone)[: shard.n] > 0
+    mask = _covered(hits, shard.n)
     total = np.concatenate([[0], np.cumsum(mask)])
     rows = []
     for i, (size, end) in enumerate(zip(shard.sizes.tolist(), shard.ends.tolist())):
