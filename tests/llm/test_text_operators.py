@@ -109,6 +109,28 @@ def test_main_text_by_host(spark):
     assert all(got[100 + i] == bodies[0] for i in range(4))
 
 
+def fresh(rng, n):
+    return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+
+NOTICE = "please accept our rules before you go on reading this site today"
+
+
+def test_main_text_searches_all_pages_of_a_host(spark):
+    rng = random.Random(4)
+    bodies = [fresh(rng, 60) for _ in range(12)]
+    html = lambda own, i: f"<body><div>{NOTICE}</div>{own.format(bodies[i])}</body>"
+    # the only marker stands in a dropped element; the notice of pages with an article counts; main is narrowed, an article protected
+    aside = [(i, "https://x.example/", html("<div>{}</div><aside><article>no</article></aside>", i)) for i in range(4)]
+    two = [(i, "https://y.example/", html("<div>{}</div>" if i < 6 else "<article>{}</article>", i)) for i in range(4, 8)]
+    inner = [(i, "https://z.example/", f"<body><main><p>{NOTICE}</p>{bodies[i]}</main></body>") for i in range(8, 11)]
+    held = [(20 + i, "https://w.example/", f"<article>{NOTICE} {bodies[i]}</article>") for i in range(3)]
+    rows = aside + two + inner + held
+    got = {r.page_id: r.text for r in main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(11)] == bodies[:11]
+    assert [got[20 + i] for i in range(3)] == [f"{NOTICE} {b}" for b in bodies[:3]]
+
+
 def test_suffix_array_and_prefixes_against_sorting():
     rng = np.random.default_rng(3)
     for n, letters, depth in ((1, 2, 4), (300, 2, 9), (700, 3, 50), (400, 1, 16)):
