@@ -131,6 +131,22 @@ def test_main_text_searches_all_pages_of_a_host(spark):
     assert [got[20 + i] for i in range(3)] == [f"{NOTICE} {b}" for b in bodies[:3]]
 
 
+def test_main_text_does_not_depend_on_groups(spark, monkeypatch):
+    rng = random.Random(5)
+    bodies = [fresh(rng, 40) for _ in range(30)]
+    shared = [fresh(rng, n) for n in (6, 7, 9)]  # on 3, 3 and 2 pages
+    places = ((1, 11, 21), (2, 12, 28), (3, 13))
+    lines = lambda i: "".join(f"<div>{s}</div>" for s, at in zip(shared, places) if i in at)
+    kind = lambda i: "article" if i in (21, 28) else "div"
+    rows = [(i, "https://x.example/", f"<body><div>{NOTICE}</div>{lines(i)}<{kind(i)}>{b}</{kind(i)}></body>") for i, b in enumerate(bodies)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = [f"{shared[2]} {b}" if i in places[2] else b for i, b in enumerate(bodies)]
+    for size in (400, 7, 1):
+        monkeypatch.setattr(main_text, "GROUP", size)
+        got = {r.page_id: r.text for r in main_text.main_text(pages).collect()}
+        assert [got[i] for i in range(30)] == want, size
+
+
 def test_suffix_array_and_prefixes_against_sorting():
     rng = np.random.default_rng(3)
     for n, letters, depth in ((1, 2, 4), (300, 2, 9), (700, 3, 50), (400, 1, 16)):
