@@ -109,6 +109,16 @@ def test_main_text_by_host(spark):
     assert all(got[100 + i] == bodies[0] for i in range(4))
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'aria-hidden="false"', "class='post has-sidebar'", 'class="with-comments no-ads"', 'data-x="class=ad hidden"', 'title="a hidden ad" id=post'])
+def test_attributes_that_hide_nothing(attrs):
+    assert main_text.blocks(f"<body {attrs}><article {attrs}><p {attrs}>text</p></article></body>") == [("article", "text")]
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'x="y"hidden=""', 'aria-hidden="true"', "class='box cookie-notice'", "class=ad", 'id="comment-12"', "role=navigation"])
+def test_attributes_that_drop(attrs):
+    assert main_text.blocks(f"<body hidden><article>a<div {attrs}>no</div></article></body>") == [("article", "a")]
+
+
 def fresh(rng, n):
     return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
 
