@@ -50,6 +50,14 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` staged with a key of its own for each row, and the key's column name."""
+    key = "_row"
+    while key.lower() in map(str.lower, df.columns):
+        key += "_"
+    return staged(df.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table of the folder."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -24,13 +24,14 @@ WHITE = r"[\x20\x09-\x0D]+"
 KEY = ["digest", "check"]
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(id, row, run, digest, check, length): the leaves of the tree; the texts themselves go no further."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    leaves = docs.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("x", F.regexp_replace("t", WHITE, ""))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    leaves = docs.select(F.col(id_col).alias("id"), row.alias("row"), text.alias("t")).withColumn("x", F.regexp_replace("t", WHITE, ""))
     return leaves.select(
         "id",
-        F.monotonically_increasing_id().alias("row"),
+        "row",
         F.unhex(F.sha2(F.col("x"), 256)).alias("digest"),
         (F.xxhash64("x").bitwiseXOR(F.octet_length("x"))).alias("check"),
         F.length("t").alias("length"),
@@ -65,9 +66,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Identifiers are taken to be unique; null ones are lost."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(id_col)
-    return docs.join(kept, id_col, "left_semi")
+    """The rows of ``docs`` that stay, with all their columns: one of each group, whatever their identifiers are."""
+    keyed, key = common.keyed(docs, "documents")
+    leaves = common.staged(digests(keyed, id_col, text_col, key), "digests")
+    kept = leaves.join(merged(leaves), [*KEY, "run"]).where(F.col("row") == F.col("best.row")).select(F.col("row").alias(key))
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

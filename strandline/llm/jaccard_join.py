@@ -472,9 +472,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the least identifier of each component, with all their columns; null identifiers stay."""
-    gone = jaccard_components(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(gone, id_col, "left_anti")
+    """The row with the least identifier of each component (null last), with all its columns. Rows are joined by a key of
+    their own, so that those of one identifier, or of none, get a verdict each."""
+    keyed, key = common.keyed(docs, "documents")
+    found = jaccard_components(keyed, key, text_col).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("r"), F.col("component_id").alias("c"))
+    found = common.staged(found.unionByName(found.select(F.col("c").alias("r"), "c")).distinct(), "linked")
+    named = found.join(keyed.select(F.col(key).alias("r"), F.col(id_col).alias("id")), "r")
+    best = named.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r")).alias("best"))
+    gone = named.join(best, "c").where(F.col("r") != F.col("best.r")).select(F.col("r").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,18 @@ def _prefix(rows: DataFrame, size: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=None, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, size, source_size, target, taken (words, repeats counted).
+    """Per row: id, size, source_size, target, taken (words, repeats counted); see ``_mixed``."""
+    return _mixed(docs, weights, seed, id_col, text_col, source_col).select(
+        F.col("id").alias(id_col),
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * (F.col("passes") + F.col("extra").cast("int"))).alias("taken"),
+    )
+
+
+def _mixed(docs: DataFrame, weights=None, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """Per row: id, row (``row_col``, if given), size, source_size, target, passes and extra, one more pass or none.
 
     ``source_col`` holds a string, or an array of strings for overlapping sources: then source_size and target are sums
     over the row's sources. ``weights``: source -> weight; by default 1, 2, 3 repeating in code-point order, null last.
@@ -125,7 +136,7 @@ def mix(docs: DataFrame, weights=None, seed: int = 9, id_col: str = "doc_id", te
     many = isinstance(docs.schema[source_col].dataType, T.ArrayType)
     pattern = F.array_sort(F.array_distinct(F.col(source_col))) if many else F.array(F.col(source_col))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), pattern.alias("sources"), size.alias("size"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), pattern.alias("sources"), size.alias("size"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
     rows = rows.withColumn("u", F.xxhash64(F.lit(seed), "id"))
     rows = common.staged(rows.withColumn("bucket", F.pmod("u", F.lit(BUCKETS)).cast("int")), "mix")
 
@@ -169,19 +180,15 @@ def mix(docs: DataFrame, weights=None, seed: int = 9, id_col: str = "doc_id", te
             break
         less = spark.createDataFrame(list(used.items()), "pattern int, used long")
         state = state.join(F.broadcast(less), "pattern", "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).drop("used")
-    return state.select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("passes") + F.col("extra").cast("int"))).alias("taken"),
-    )
+    return state
 
 
 def mixed_documents(docs: DataFrame, seed: int = 9) -> DataFrame:
-    """The documents of the mix with all their columns, each as many times as the mix passes over it."""
-    passes = mix(docs, seed=seed).where("taken > 0").groupBy("doc_id").agg(F.first((F.col("taken") / F.col("size")).cast("int")).alias("_passes"))
-    return docs.join(passes, "doc_id").withColumn("_passes", F.explode(F.sequence(F.lit(1), "_passes"))).select(*[docs[c] for c in docs.columns])
+    """The rows of the mix with all their columns, each as many times as the mix passes over it."""
+    keyed, key = common.keyed(docs, "documents")
+    passes = _mixed(keyed, seed=seed, row_col=key).select(F.col("row").alias(key), F.when(F.col("size") > 0, F.col("passes") + F.col("extra").cast("int")).alias(key + "n"))
+    taken = keyed.join(passes.where(F.col(key + "n") > 0), key)
+    return taken.withColumn(key + "n", F.explode(F.sequence(F.lit(1), F.col(key + "n")))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,6 +207,20 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_pipeline_stages_decide_by_row(spark):
+    rng = random.Random(11)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(n))
+    a, b, c, near = (fresh(40) for _ in range(4))
+    rows = [(1, a, "s"), (1, a, "s"), (1, a, "s"), (None, b, "s"), (2, c, "s"), (2, a + " ", "s"), (3, near, "s"), (3, near + " end", "s"), (None, near + " off", "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = exact_dedup.keep_first(docs)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, [r for r in docs.collect() if r.text != a]))
+    one = jaccard_join.one_of_each(kept)
+    assert sorted((r.doc_id or 0, r.text[:10]) for r in one.collect()) == sorted([(0, b[:10]), (2, c[:10]), (2, a[:10]), (3, near[:10])])
+    mixed = mixing.mixed_documents(one)  # one source: its target is its size, so that each row is taken once
+    assert mixed.columns == docs.columns and sorted(map(str, mixed.collect())) == sorted(map(str, one.collect()))
+
+
 def test_pipeline_keeps_columns_and_matches_its_stages(spark):
     import corpus_pipeline
     from strandline.llm import common
