@@ -71,8 +71,8 @@ def claims_streamed(spark, d):
 
 
 def near_repeats(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(60)).alias("text"))
-    return folds.drop_near_repeats(c, "conv_id", "turn", "text", 0.6)
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return folds.drop_near_repeats(c, "conv_id", "turn", "text")
 
 
 def change_frames(spark, d):

@@ -268,3 +268,14 @@ def test_continuity_stream_equals_batch(spark, tmp_path):
     for r in seen:
         w = want[r.stream_id]
         assert (r.received, r.duplicates, r.conflicts, r.max_sequence, r.runs) == (w.received, w.duplicates, w.conflicts, w.max_sequence, w.runs)
+
+
+def test_near_repeats_compare_whole_texts(spark, tmp_path):
+    from strandline.plans import catalogue
+
+    head = "the same words stand at the beginning of every turn of this talk, "
+    texts = [head + "a" * 90, head + "b" * 90, head + "b" * 89 + "c"]
+    rows = [(1, i, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalogue.queries()["near_repeats"](spark, str(tmp_path)).collect()
+    assert sorted((r.turn, r.text) for r in got) == [(0, texts[0]), (1, texts[1])]
