@@ -11,17 +11,19 @@ Documents are dealt to shards (blocks of about BLOCK bytes) by a hash of their i
 3. Over those windows each shard builds a suffix array by Larsson-Sadakane refinement (to WIDTH bytes) and Kasai's common
    prefixes; prefixes of WIDTH bytes join windows into classes, each with its earliest document, and windows of later
    documents of the class are settled there and then.
-4. Across shards the classes' earliest windows are merged: sorted runs of window digests (64 bits, of whole windows)
-   meet by range of digest, binary search finds each class in the merged runs, and a bit per class returns.
+4. Across shards the classes' earliest windows are merged: sorted runs of window digests (64 bits, of whole windows, and
+   32 more that tell colliding ones apart) meet by range of digest, binary search finds each class in the merged runs, and
+   a bit per class returns.
 5. The covered bytes are removed and the rest is digested.
 
-What is exchanged: the texts once (the exchange is reused), 4 bytes per distinct anchor and shard, 24 per distinct
-repeated stretch and shard, 8 and an identifier per distinct window at a passage's edge; a group of copies, however
+What is exchanged: the texts once (the exchange is reused), 4 bytes per distinct anchor and shard, 32 per distinct
+repeated stretch and shard, 12 and an identifier per distinct window at a passage's edge; a group of copies, however
 large, sends each of its stretches once per shard.
 
 Edge cases: null counts as empty; texts under WIDTH bytes keep all; rows that repeat an identifier are not earlier than
 each other; a null identifier is earlier than all others; texts of any length are whole; an empty table gives an empty
-result; other columns are not read. Two different windows have the same 64-bit digest with a chance of 1 in 1.8e19 a pair.
+result; other columns are not read. Two different windows of two shards have the same 96 bits with a chance of 1 in 7.9e28
+a pair, and two different stretches around one anchor the same 63 bits with one of 1 in 9.2e18.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ from strandline.llm import common, suffixes
 
 #: Bytes of a string that counts as repeated, and of an anchor.
 WIDTH, GRAM = 50, 24
-#: Bytes of text in a shard, about; positions in a shard have 24 bits or as many as its size needs.
+#: Bytes of text in a shard, about.
 BLOCK = 6_000_000
+#: Bits of a digest that are used, beside the 32 of its check.
+DIGEST_BITS = 64
 #: Positions hashed at a time.
 SLICE = 1 << 14
 LEAST_ID = -(2**63)
@@ -58,12 +62,12 @@ class Shard:
     """The texts of a shard as one byte array, in order of identifier, with the 8 bytes at every position as a number."""
 
     def __init__(self, table: pa.Table):
-        ids = np.array([LEAST_ID if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
-        order = np.argsort(ids, kind="stable")
+        column = table.column("doc_id").to_pylist()
+        ids, named = np.array([LEAST_ID if x is None else x for x in column], np.int64), np.array([x is not None for x in column], bool)
+        order = np.lexsort((ids, named))
         texts = table.column("text").to_pylist()
         texts = [texts[i] for i in order.tolist()]
-        self.ids = ids[order]
-        self.none = self.ids == LEAST_ID
+        self.ids, self.none = ids[order], ~named[order]
         parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         self.ends = np.cumsum(self.sizes)
@@ -83,7 +87,7 @@ class Shard:
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts of windows, position of each one's anchor, hash of the gram at every position)."""
         n, span = self.n, WIDTH - GRAM + 1
-        bits = _U(max(24, n.bit_length()))
+        bits = _U(32)  # of a position in the shard; the choice between hashes takes their other 32 in shards of any size
         every, least = np.empty(n, _U), np.empty(n, _U)
         for a in range(0, n, SLICE):  # slices that stay in a core's cache
             b = min(n, a + SLICE)
@@ -112,7 +116,20 @@ class Shard:
         h ^= h >> _U(32)
         h *= _MIX[7]
         h ^= h >> _U(29)
-        return h
+        return h & _used()
+
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """32 further bits of the windows that start at ``at``, of other products."""
+        h = np.zeros(len(at), _U)
+        for k, off in enumerate([*range(0, WIDTH - 7, 8), WIDTH - 8]):
+            h = (h ^ (h >> _U(31))) * _MIX[4] + (self.eights[at + off] ^ _MIX[k]) * _MIX[2]
+        h ^= h >> _U(33)
+        h *= _MIX[5]
+        return (h >> _U(32)).astype(np.uint32)
+
+
+def _used() -> np.uint64:
+    return _U(2**64 - 2 ** (64 - DIGEST_BITS))
 
 
 def _distinct(values: np.ndarray) -> np.ndarray:
@@ -120,14 +137,27 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return _steps(np.sort(values))
 
 
-def _classes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _ordered(values: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the values, which of them in that order begin a new class); equal values of other checks are other classes."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    if check is not None:
+        differs = check[order][1:] != check[order][:-1]
+        if (differs & ~new[1:]).any():
+            order = np.lexsort((check, values))
+            ordered, checks = values[order], check[order]
+            new[1:] = (ordered[1:] != ordered[:-1]) | (checks[1:] != checks[:-1])
+    return order, new
+
+
+def _classes(values: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct values ascending, first place of each, class of each place, size of each class)."""
     if not len(values):
         none = np.zeros(0, np.int64)
         return values, none, none, none
-    order = np.argsort(values)
+    order, new = _ordered(values, check)
     ordered = values[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     begins = np.flatnonzero(new)
     cls = np.empty(len(values), np.int64)
     cls[order] = np.cumsum(new) - 1
@@ -177,11 +207,13 @@ def _kind(table: pa.Table, *kinds: int) -> pa.Table:
     return table.filter(pa.array([k in kinds for k in table.column("kind").to_pylist()], pa.bool_()))
 
 
-def _split(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(stable order by the top ``bits`` bits, bounds of each range in it)."""
+def _split(values: np.ndarray, bits: int) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """(stable order by the top ``bits`` bits, bounds in it of each range that has values)."""
     top = (values >> _U(64 - bits)).astype(np.int64)
     order = np.argsort(top.astype(np.uint16) if bits <= 16 else top, kind="stable")
-    return order, np.searchsorted(top[order], np.arange((1 << bits) + 1))
+    top = top[order]
+    cut = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])) if len(top) else np.zeros(0, np.int64)
+    return order, dict(zip(top[cut].tolist(), zip(cut.tolist(), np.append(cut[1:], len(top)).tolist())))
 
 
 _I, _L, _B = pa.int32(), pa.int64(), pa.binary()
@@ -196,7 +228,7 @@ def anchors_of(table: pa.Table, bits: int) -> pa.Table:
     own = _distinct(h[_steps(where)])
     order, bound = _split(own, bits)
     keys = (own[order] << _U(bits) >> _U(32)).astype(np.uint32)
-    return _bytes([(r, block, keys[a:b].tobytes()) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:])) if b > a], "range block keys", [_I, _I, _B])
+    return _bytes([(r, block, keys[a:b].tobytes()) for r, (a, b) in bound.items()], "range block keys", [_I, _I, _B])
 
 
 def shared_anchors(table: pa.Table) -> pa.Table:
@@ -240,19 +272,24 @@ class Stretches:
         digest = shard.windows(self.lo) * _MIX[6] + shard.windows(self.hi, 1) * _MIX[3] + (self.hi - self.lo).astype(_U)
         digest ^= digest >> _U(30)
         digest *= _MIX[1]
-        self.digest, self.first, self.cls, _ = _classes(digest)
+        digest &= _used()
+        check = shard.checks(self.lo) * np.uint32(0x9E3779B1) + shard.checks(self.hi)
+        self.digest, self.first, self.cls, _ = _classes(digest, check)
+        self.check = check[self.first]
 
     def hashed(self, bits: int):
-        """For the anchors' exchange: (32-bit key in its range, range order, bounds, fold of the class or 0 if several)."""
+        """For the anchors' exchange: (anchors, 32-bit key in its range, 63 bits of the class or 0 if several, range order,
+        bounds)."""
         anchor = self.anchor[self.first]
         own, begin, _, count = _classes(anchor)
-        fold = np.where(count > 1, 0, (self.digest[begin] >> _U(33)).astype(np.int64) + 1).astype(np.uint32)
+        told = (self.digest[begin] ^ (self.check[begin].astype(_U) << _U(1))) | _U(1)
+        fold = np.where(count > 1, _U(0), told)
         order, bound = _split(own, bits)
         return own, (own << _U(bits) >> _U(32)).astype(np.uint32), fold, order, bound
 
 
-_CLASS = ["kind", "range", "block", "keys", "values"]
-_CLASS_KINDS = [_I, _I, _I, _B, _B]
+_CLASS = ["kind", "range", "block", "keys", "values", "checks"]
+_CLASS_KINDS = [_I, _I, _I, _B, _B, _B]
 
 
 def stretches_of(texts: pa.Table, told: pa.Table, bits: int) -> pa.Table:
@@ -263,46 +300,60 @@ def stretches_of(texts: pa.Table, told: pa.Table, bits: int) -> pa.Table:
     shard, block = Shard(texts), texts.column("block")[0].as_py()
     s = Stretches(shard, _shared(told), bits)
     _, key, fold, order, bound = s.hashed(bits)
-    rows = [(0, r, block, key[order[a:b]].tobytes(), fold[order[a:b]].tobytes()) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:])) if b > a]
+    rows = [(0, r, block, key[order[a:b]].tobytes(), fold[order[a:b]].tobytes(), None) for r, (a, b) in bound.items()]
     _, bound = _split(s.digest, bits)  # the digests are sorted
     doc = s.doc[s.first]
-    rows += [(1, r, block, s.digest[a:b].tobytes(), doc[a:b].tobytes()) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:])) if b > a]
+    rows += [(1, r, block, s.digest[a:b].tobytes(), doc[a:b].tobytes(), s.check[a:b].tobytes()) for r, (a, b) in bound.items()]
     return _bytes(rows, " ".join(_CLASS), _CLASS_KINDS)
 
 
-def _merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted runs merged: (distinct keys, least value, greatest value)."""
-    every, value = np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(every)
-    every, value = every[order], value[order]
-    begins = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    return every[begins], np.minimum.reduceat(value, begins), np.maximum.reduceat(value, begins)
+class Merged:
+    """Sorted runs merged: distinct keys (and checks, by which equal keys of different strings are told apart), with the
+    least and the greatest value of each."""
+
+    def __init__(self, keys: list[np.ndarray], values: list[np.ndarray], checks: list[np.ndarray] | None = None):
+        every, value = np.concatenate(keys), np.concatenate(values)
+        check = None if checks is None else np.concatenate(checks)
+        order, new = _ordered(every, check)
+        begins = np.flatnonzero(new)
+        self.keys = every[order][begins]
+        self.checks = None if check is None else check[order][begins]
+        self.least, self.most = np.minimum.reduceat(value[order], begins), np.maximum.reduceat(value[order], begins)
+
+    def place(self, keys: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
+        """Where each key of one of the runs stands, by binary search; then on to its check among equal keys."""
+        at = np.searchsorted(self.keys, keys)
+        while self.checks is not None and (off := self.checks[at] != checks).any():
+            at[off] += 1
+        return at
 
 
 def merge_stretches(table: pa.Table) -> pa.Table:
     """Of one range: a bit per anchor (kind 0), set if stretches around it differ; a bit per class (kind 1), set if
     another shard has it in an earlier document."""
     kinds, ranges, blocks = (table.column(c).to_pylist() for c in ("kind", "range", "block"))
-    keys, values = table.column("keys").to_pylist(), table.column("values").to_pylist()
+    keys, values, checks = (table.column(c).to_pylist() for c in ("keys", "values", "checks"))
     rows = []
-    for kind, key_type, value_type in ((0, np.uint32, np.uint32), (1, _U, np.int64)):
+    for kind, key_type, value_type in ((0, np.uint32, _U), (1, _U, np.int64)):
         at = [i for i, k in enumerate(kinds) if k == kind]
         if not at:
             continue
         k, v = [np.frombuffer(keys[i], key_type) for i in at], [np.frombuffer(values[i], value_type) for i in at]
-        known, least, most = _merged(k, v)
-        for i, own, value in zip(at, k, v):
-            place = np.searchsorted(known, own)
-            found = (least[place] != most[place]) | (least[place] == 0) if kind == 0 else least[place] < value
+        c = [np.frombuffer(checks[i], np.uint32) for i in at] if kind else None
+        known = Merged(k, v, c)
+        for j, (i, own, value) in enumerate(zip(at, k, v)):
+            place = known.place(own, c[j] if c else None)
+            least, most = known.least[place], known.most[place]
+            found = (least != most) | (least == 0) if kind == 0 else least < value
             rows.append((kind, ranges[i], blocks[i], np.packbits(found).tobytes()))
     return _bytes(rows, "kind range block bits", [_I, _I, _I, _B])
 
 
-def _verdicts(told: pa.Table, kind: int, order: np.ndarray, bound: np.ndarray) -> np.ndarray:
+def _verdicts(told: pa.Table, kind: int, order: np.ndarray, bound: dict) -> np.ndarray:
     out = np.zeros(len(order), bool)
     for k, r, bits in zip(told.column("kind").to_pylist(), told.column("range").to_pylist(), told.column("bits").to_pylist()):
         if k == kind and bits is not None:
-            own = order[bound[r] : bound[r + 1]]
+            own = order[slice(*bound[r])]
             out[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
     return out
 
@@ -326,7 +377,7 @@ def classes_of(shard: Shard, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(texts: pa.Table, shared: pa.Table, told: pa.Table, bits: int, wide: int) -> pa.Table:
     """A shard's window classes for merging by digest range, and a row of what is settled already."""
-    names, kinds = "range block digests docs local", [_I, _I, _B, _B, _B]
+    names, kinds = "range block digests checks docs local", [_I, _I, _B, _B, _B, _B]
     if not texts.num_rows:
         return _bytes([], names, kinds)
     shard, block = Shard(texts), texts.column("block")[0].as_py()
@@ -349,12 +400,13 @@ def candidates(texts: pa.Table, shared: pa.Table, told: pa.Table, bits: int, wid
         later = doc_at > doc_of[cls]
         more = ~later & (at != firsts[cls])
         parts += [_runs(at[later]), _runs(firsts), np.stack([at[more], cls[more]], 1).astype(np.int32)]
-        digest = shard.windows(firsts)
+        digest, check = shard.windows(firsts), shard.checks(firsts)
         order, bound = _split(digest, wide)
-        rows = [(r, block, digest[order[a:b]].tobytes(), doc_of[order[a:b]].tobytes(), None) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:])) if b > a]
+        sent = digest[order], check[order], doc_of[order]
+        rows = [(r, block, *(x[a:b].tobytes() for x in sent), None) for r, (a, b) in bound.items()]
     parts += [np.zeros((0, 2), np.int32)] * (4 - len(parts))
     local = np.array([len(x) for x in parts], np.int32).tobytes() + b"".join(x.tobytes() for x in parts)
-    return _bytes([*rows, (block % (1 << wide), block, None, None, local)], names, kinds)
+    return _bytes([*rows, (block % (1 << wide), block, None, None, None, local)], names, kinds)
 
 
 def merge_runs(table: pa.Table) -> pa.Table:
@@ -362,14 +414,15 @@ def merge_runs(table: pa.Table) -> pa.Table:
     document. The sorted runs are merged, and every run is looked up in the merged one by binary search."""
     blocks, ranges = table.column("block").to_pylist(), table.column("range").to_pylist()
     digests = [np.frombuffer(x, _U) if x is not None else None for x in table.column("digests").to_pylist()]
+    checks = [np.frombuffer(x, np.uint32) if x is not None else None for x in table.column("checks").to_pylist()]
     docs = [np.frombuffer(x, np.int64) if x is not None else None for x in table.column("docs").to_pylist()]
     local = table.column("local").to_pylist()
     some = [i for i, d in enumerate(digests) if d is not None]
     rows = [(blocks[i], ranges[i], None, x) for i, x in enumerate(local) if x is not None]
     if some:
-        keys, least, _ = _merged([digests[i] for i in some], [docs[i] for i in some])
+        known = Merged(*([c[i] for i in some] for c in (digests, docs, checks)))
         for i in some:
-            found = least[np.searchsorted(keys, digests[i])] < docs[i]
+            found = known.least[known.place(digests[i], checks[i])] < docs[i]
             rows.append((blocks[i], ranges[i], np.packbits(found).tobytes(), None))
     return _bytes(rows, "block range bits local", [_I, _I, _B, _B])
 
@@ -390,7 +443,7 @@ def removed(texts: pa.Table, told: pa.Table, wide: int) -> pa.Table:
         verdict = np.zeros(len(firsts), bool)
         for r, bits in zip(told.column("range").to_pylist(), told.column("bits").to_pylist()):
             if bits is not None:
-                own = order[bound[r] : bound[r + 1]]
+                own = order[slice(*bound[r])]
                 verdict[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
         hits = np.concatenate([settled, later, firsts[verdict], more[verdict[more[:, 1]], 0].astype(np.int64)])
     mask = _covered(hits, shard.n)
@@ -423,12 +476,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # from here on a shard hears two things: its shared anchors (kind -1) and the verdicts on its stretches
     shared = shared.select("block", F.lit(-1).alias("kind"), "range", "keys", F.lit(None).cast("binary").alias("bits"))
     classed = by_block.cogroup(shared.groupBy("block")).applyInArrow(
-        lambda t, k: stretches_of(t, k, bits), "kind int, range int, block int, keys binary, values binary"
+        lambda t, k: stretches_of(t, k, bits), "kind int, range int, block int, keys binary, values binary, checks binary"
     )
     judged = classed.groupBy("kind", "range").applyInArrow(merge_stretches, "kind int, range int, block int, bits binary")
     heard = judged.select("block", "kind", "range", F.lit(None).cast("binary").alias("keys"), "bits").unionByName(shared)
     found = by_block.cogroup(heard.groupBy("block")).applyInArrow(
-        lambda t, k: candidates(t, _kind(k, -1), _kind(k, 0, 1), bits, wide), "range int, block int, digests binary, docs binary, local binary"
+        lambda t, k: candidates(t, _kind(k, -1), _kind(k, 0, 1), bits, wide), "range int, block int, digests binary, checks binary, docs binary, local binary"
     )
     verdicts = found.groupBy("range").applyInArrow(merge_runs, "block int, range int, bits binary, local binary")
     return by_block.cogroup(verdicts.groupBy("block")).applyInArrow(

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandline.llm import ann, exact_dedup, jaccard_join, mixing, substring_dedup, toxicity
@@ -80,6 +81,35 @@ def test_substring_dedup(spark, corpus, monkeypatch, block):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(y), int(gone.sum()), spans, kept), i
 
 
+def test_colliding_digests_are_told_apart(corpus, monkeypatch):
+    """The operator's steps by hand, with digests of 3 bits: nearly all strings collide, and the checks decide."""
+    monkeypatch.setattr(substring_dedup, "DIGEST_BITS", 3)
+    S, blocks, bits = substring_dedup, 5, 4
+
+    def grouped(tables, *names):
+        every = pa.concat_tables(tables)
+        keys = list(zip(*(every.column(n).to_pylist() for n in names)))
+        return {k: every.filter(pa.array([x == k for x in keys])) for k in dict.fromkeys(keys)}
+
+    own = [(i, t) for i, t, _ in corpus]
+    texts = {b: pa.table({"doc_id": pa.array([i for i, _ in own if i % blocks == b], pa.int64()), "text": pa.array([t for i, t in own if i % blocks == b], pa.string()), "block": pa.array([b for i, _ in own if i % blocks == b], pa.int32())}) for b in range(blocks)}
+    shared = grouped([S.shared_anchors(t) for t in grouped([S.anchors_of(t, bits) for t in texts.values()], "range").values()], "block")
+    told = {b: shared[(b,)] for b in texts}
+    judged = grouped([S.merge_stretches(t) for t in grouped([S.stretches_of(texts[b], told[b], bits) for b in texts], "kind", "range").values()], "block")
+    found = grouped([S.candidates(texts[b], told[b], judged[(b,)], bits, bits + 1) for b in texts], "range")
+    verdicts = grouped([S.merge_runs(t) for t in found.values()], "block")
+    got = {r["doc_id"]: r["n_removed"] for b in texts for r in S.removed(texts[b], verdicts[(b,)], bits + 1).to_pylist()}
+    first, want = {}, {}
+    for i, t, _ in sorted(corpus):
+        y = (t or "").encode()
+        gone = np.zeros(len(y), bool)
+        for k in range(len(y) - 49):
+            if first.setdefault(y[k : k + 50], i) < i:
+                gone[k : k + 50] = True
+        want[i] = int(gone.sum())
+    assert got == want and sum(want.values())
+
+
 def test_substring_dedup_edges(spark):
     rows = [(7, "y" * 60, None), (7, "y" * 60, None), (None, "y" * 60, None), (8, None, None)]
     got = sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS)).collect())
