@@ -5,6 +5,10 @@ A record is (headers map<string,string>, block binary). For each response two re
 (text/plain). Both name the response in WARC-Refers-To, keep its target, date and payload digest, and carry digests of
 their own blocks. All is one narrow stage per record over Arrow batches; nothing is shuffled.
 
+Header names of records and of HTTP are compared without case. Chunked bodies are joined and gzip or deflate bodies are
+unpacked before the text is taken; what can't be is kept as it came, and the metadata record says so in a source-error
+line. Records that are torn or malformed in a file are read as far as they go, with an error.
+
 Edge cases: a null block or html is an empty body; a null url leaves WARC-Target-URI out; a block without an HTTP head is
 all body, with status 0; records of other types pass no derivatives on; texts of any length are whole; repeated rows get
 records with equal identifiers, as these derive from the source's identifier; an empty table gives an empty result; other
@@ -18,6 +22,7 @@ import hashlib
 import html as html_lib
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +31,8 @@ from pyspark.sql import functions as F
 from strandline.llm import common
 
 RECORD = "headers map<string,string>, block binary"
+#: Bytes of records that leave a reading task at once, about.
+FLUSH = 16_000_000
 #: The capture time of records made from a table of pages, which has none.
 CAPTURED = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public URL name space of RFC 4122
@@ -54,12 +61,64 @@ def plain_text(page: str) -> str:
 
 def _head(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """(status, headers, body) of an HTTP message."""
-    if not block.startswith(b"HTTP/"):
+    if block[:5].upper() != b"HTTP/":
         return "0", [], block
-    head, _, body = block.partition(b"\r\n\r\n")
-    first, *rest = head.decode("latin-1").split("\r\n")
-    fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in rest) if k]
-    return (first.split(" ") + ["0", "0"])[1], fields, body
+    end = re.search(rb"\r?\n\r?\n", block)
+    head, body = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    first, *rest = re.split(r"\r?\n", head.decode("latin-1"))
+    fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in rest) if k.strip()]
+    return (first.split() + ["0", "0"])[1], fields, body
+
+
+def _joined(body: bytes) -> bytes:
+    """The chunks of a chunked body; raises ValueError where it is no such body or torn."""
+    out, at = [], 0
+    while True:
+        stop = body.index(b"\n", at)
+        size = int(body[at:stop].split(b";")[0].strip(), 16)
+        if size == 0:
+            return b"".join(out)
+        if size < 0 or stop + 1 + size > len(body):
+            raise ValueError("torn chunk")
+        out.append(body[stop + 1 : stop + 1 + size])
+        at = stop + 1 + size
+        at += 2 if body[at : at + 2] == b"\r\n" else 1
+
+
+def _unpacked(body: bytes, coding: str) -> bytes:
+    """A gzip or deflate body as it was before; raises zlib.error or ValueError where it is none or torn."""
+    out = []
+    while body:
+        unpack = zlib.decompressobj(47 if coding != "deflate" or body[0] & 15 == 8 else -15)
+        out.append(unpack.decompress(body) + unpack.flush())
+        if not unpack.eof:
+            raise ValueError("torn body")
+        body = unpack.unused_data if coding != "deflate" else b""
+    return b"".join(out)
+
+
+def content(fields: list[tuple[str, str]], body: bytes) -> tuple[bytes, list[str]]:
+    """The body without its transfer and content codings, and what could not be undone."""
+    named: dict[str, str] = {}
+    for k, v in fields:
+        named.setdefault(k.lower(), v.lower())
+    faults = []
+    if "chunked" in named.get("transfer-encoding", ""):
+        try:
+            body = _joined(body)
+        except ValueError:
+            faults.append("transfer-encoding chunked")
+    for coding in reversed([x.strip() for x in named.get("content-encoding", "").split(",")]):
+        if coding in ("", "identity"):
+            continue
+        try:
+            if coding not in ("gzip", "x-gzip", "deflate"):
+                raise ValueError(coding)
+            body = _unpacked(body, coding)
+        except (ValueError, zlib.error):
+            faults.append(f"content-encoding {coding}")
+            break
+    return body, faults
 
 
 def response_record(key: str, url: str | None, page: str | None) -> tuple[dict, bytes]:
@@ -80,23 +139,25 @@ def response_record(key: str, url: str | None, page: str | None) -> tuple[dict,
 
 def derivatives(headers: dict, block: bytes | None) -> list[tuple[dict, bytes]]:
     """The metadata and conversion records of a response; none for other types."""
-    if headers.get("WARC-Type") != "response":
+    named = {k.lower(): v for k, v in headers.items()}
+    if (named.get("warc-type") or "").lower() != "response":
         return []
     block = block or b""
-    status, fields, body = _head(block)
+    status, fields, payload_bytes = _head(block)
+    body, faults = content(fields, payload_bytes)
     kind = next((v for k, v in fields if k.lower() == "content-type"), "text/html")
-    charset = (re.search(r"charset=([\w-]+)", kind) or [None, "utf-8"])[1]
+    charset = (re.search(r"charset=[\"']?([\w-]+)", kind, re.I) or [None, "utf-8"])[1]
     try:
         page = body.decode(charset, "replace")
-    except LookupError:
+    except (LookupError, ValueError):  # unknown, or no charset of text
         page = body.decode("utf-8", "replace")
-    source, payload = headers.get("WARC-Record-ID", ""), headers.get("WARC-Payload-Digest") or digest(body)
-    shared = {k: headers[k] for k in ("WARC-Target-URI", "WARC-Date") if headers.get(k) is not None}
+    source, payload = named.get("warc-record-id") or "", named.get("warc-payload-digest") or digest(payload_bytes)
+    shared = {k: named[k.lower()] for k in ("WARC-Target-URI", "WARC-Date") if named.get(k.lower()) is not None}
     shared |= {"WARC-Refers-To": source, "WARC-Payload-Digest": payload}
     links = [html_lib.unescape(a or b or c).strip() for a, b, c in _LINK.findall(page)]
     text = plain_text(page)
-    facts = [("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in fields), ("source-block-digest", headers.get("WARC-Block-Digest") or digest(block))]
-    facts += [("source-length", str(len(body))), ("text-length", str(len(text))), *(("outlink", " ".join(x.split())) for x in links)]
+    facts = [("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in fields), ("source-block-digest", named.get("warc-block-digest") or digest(block))]
+    facts += [("source-length", str(len(body))), ("text-length", str(len(text))), *(("source-error", x) for x in faults), *(("outlink", " ".join(x.split())) for x in links)]
     made = []
     for form, mime, out in (
         ("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts).encode("utf-8", "surrogatepass")),
@@ -113,16 +174,55 @@ def serialise(headers: dict, block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> list[tuple[dict, bytes]]:
-    """The records of uncompressed WARC bytes."""
-    out, at = [], 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in data[at:stop].decode("utf-8", "surrogatepass").split("\r\n")[1:])
-        size = int(head["Content-Length"])
-        out.append((head, data[stop + 4 : stop + 4 + size]))
-        at = stop + 4 + size
-    return out
+_START = re.compile(rb"WARC/\d+\.\d+\r?\n")
+
+
+def parse(data: bytes):
+    """(headers, block, error) of each record of uncompressed WARC bytes; error is null for a whole record.
+
+    A record whose length is missing or malformed goes up to the next record's first line; a torn one to the end. Bytes
+    between records are passed over.
+    """
+    at = 0
+    while (start := _START.search(data, at)) is not None:
+        faults = []
+        end = re.compile(rb"\r?\n\r?\n").search(data, start.end() - 2)
+        lines = data[start.end() : end.start() if end else len(data)].decode("utf-8", "replace")
+        body = end.end() if end else len(data)
+        head: dict[str, str] = {}
+        last = None
+        for line in filter(None, re.split(r"\r?\n", lines)):
+            if line[0] in " \t" and last:  # a folded line
+                head[last] = f"{head[last]} {line.strip()}"
+            elif ":" in line:
+                last, value = (x.strip() for x in line.split(":", 1))
+                head[last] = value
+            else:
+                faults.append("malformed header")
+        size = next((v for k, v in head.items() if k.lower() == "content-length"), "")
+        if not end:
+            faults.append("torn header")
+        if size.isdecimal():
+            at = body + int(size)
+            if at > len(data):
+                faults.append("torn block")
+        else:
+            faults.append("no length")
+            following = _START.search(data, body)
+            at = following.start() if following else len(data)
+        yield head, data[body:at], "; ".join(faults) or None
+
+
+def unzipped(data: bytes):
+    """The members of a gzip file one by one (files of bare records are one member each), as far as they can be read."""
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out = member.decompress(data)
+        except zlib.error:
+            return
+        yield out
+        data = member.unused_data if member.eof else b""
 
 
 def _batch(keys, records, names) -> pa.RecordBatch:
@@ -161,18 +261,30 @@ def derive(records: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, headers, block) of the records in WARC files, plain or gzipped; a file is parsed whole by one task."""
-    import gzip
+    """(path, headers, block, error) of the records in WARC files, plain or gzipped by record or whole.
 
+    A file is read by one task, record by record; error says what is wrong with a torn or malformed record, else null.
+    """
     common.ship(spark)
 
+    def batch(p, rows):
+        held = _batch(pa.array([p] * len(rows), pa.string()), [(h, x) for h, x, _ in rows], ["path", "headers", "block"])
+        return pa.RecordBatch.from_arrays([*held.columns, pa.array([e for _, _, e in rows], pa.string())], names=["path", "headers", "block", "error"])
+
     def run(batches):
         for b in batches:
             for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-                yield _batch(pa.array([p] * len(got), pa.string()), got, ["path", "headers", "block"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"path string, {RECORD}")
+                rows, size = [], 0
+                for part in unzipped(data) if data[:2] == b"\x1f\x8b" else [data]:
+                    for record in parse(part):
+                        rows.append(record)
+                        size += len(record[1])
+                        if size > FLUSH:
+                            yield batch(p, rows)
+                            rows, size = [], 0
+                yield batch(p, rows)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"path string, {RECORD}, error string")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,7 +219,7 @@ def test_warc_links_and_round_trip(spark, tmp_path):
         assert h["WARC-Payload-Digest"] == source[r.page_id].headers["WARC-Payload-Digest"]
         assert h["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
         assert h["Content-Length"] == str(len(block)) and ("WARC-Target-URI" in h) == (r.page_id == 1)
-        assert warc.parse(warc.serialise(h, block)) == [(h, block)]
+        assert list(warc.parse(warc.serialise(h, block))) == [(h, block, None)]
     meta = next(bytes(r.block).decode() for r in made if r.page_id == 1 and r.headers["WARC-Type"] == "metadata")
     assert "http-status: 200" in meta and "http-header-content-type: text/html; charset=utf-8" in meta
     text = next(bytes(r.block).decode() for r in made if r.page_id == 1 and r.headers["WARC-Type"] == "conversion")
@@ -227,3 +227,34 @@ def test_warc_links_and_round_trip(spark, tmp_path):
     assert warc.derive(warc.derive(warc.responses(pages))).count() == 0
     (tmp_path / "x.warc").write_bytes(b"".join(warc.serialise(r.headers, bytes(r.block)) for r in made))
     assert warc.read_warc(spark, str(tmp_path / "x.warc")).count() == 6
+
+
+def test_warc_of_the_wild(spark, tmp_path):
+    import gzip
+    import zlib
+
+    page = "<p>Grüße &amp; more</p>".encode()
+    packed = gzip.compress(page)
+    chunked = b"%x\r\n%s\r\n5;x=y\r\n%s\r\n0\r\n\r\n" % (len(packed) - 5, packed[:-5], packed[-5:])
+    plain = b"HTTP/1.1 200 OK\r\ncontent-type: text/html; Charset=\"utf-8\"\r\n\r\n" + page
+    blocks = [
+        plain,
+        b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked,
+        b"HTTP/1.1 200 OK\nContent-Encoding: deflate\n\n" + zlib.compress(page),
+        b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + packed[:-9],
+        b"HTTP/1.1 200\r\nContent-Encoding: br\r\nContent-Type: text/html; charset=nonsense\r\n\r\nabc",
+    ]
+    kinds = [{"warc-type": "Response", "WARC-RECORD-ID": f"<urn:{i}>", "content-length": str(len(x))} for i, x in enumerate(blocks)]
+    records = [warc.serialise(h, x) for h, x in zip(kinds, blocks)]
+    for name, data in (("a.warc", b"".join(records)), ("b.warc.gz", b"".join(map(gzip.compress, records))), ("c.warc.gz", gzip.compress(b"".join(records)))):
+        (tmp_path / name).write_bytes(data)
+        got = warc.read_warc(spark, str(tmp_path / name))
+        assert [(r.headers["WARC-RECORD-ID"], bytes(r.block), r.error) for r in got.collect()] == [(f"<urn:{i}>", x, None) for i, x in enumerate(blocks)]
+    made = warc.derive(got.withColumnRenamed("path", "page_id")).collect()
+    texts = {r.headers["WARC-Refers-To"]: bytes(r.block).decode() for r in made if r.headers["WARC-Type"] == "conversion"}
+    assert [texts[f"<urn:{i}>"] for i in (0, 1, 2, 4)] == ["Grüße & more"] * 3 + ["abc"]
+    faults = {r.headers["WARC-Refers-To"]: b"source-error" in bytes(r.block) for r in made if r.headers["WARC-Type"] == "metadata"}
+    assert [faults[f"<urn:{i}>"] for i in range(5)] == [False, False, False, True, True]
+    torn = b"noise WARC/1.0\r\nbad line\r\nWARC-Type:response\r\n folded\r\n\r\nx\r\n\r\nWARC/1.0\r\nContent-Length: 9\r\n\r\nabc"
+    assert list(warc.parse(torn)) == [({"WARC-Type": "response folded"}, b"x\r\n\r\n", "malformed header; no length"), ({"Content-Length": "9"}, b"abc", "torn block")]
+    assert list(warc.parse(b"WARC/1.0\r\nWARC-Type: x")) == [({"WARC-Type": "x"}, b"", "torn header; no length")] and list(warc.parse(b"")) == []
