@@ -4,7 +4,7 @@ The tree is fitted on a bounded sample (SAMPLE vectors of lowest hashes). Every
 leaf it descends to. A query descends too, keeps the branches it did not take in a priority queue ordered by the
 distance to their centres, and visits leaves from the queue. How many it visits is calibrated: for a bounded set of
 queries the true neighbours are found by brute force over all rows (the stated queries against all rows, in blocks), and
-visits widen until TARGET of them are found. Queries and vectors meet by (bin, block): neighbouring leaves share a bin of about
+visits widen until TARGET of them are found, and for each query until its leaves hold more than k vectors. Queries and vectors meet by (bin, block): neighbouring leaves share a bin of about
 BLOCK vectors, and a leaf of more is cut into blocks by its counted size, so that a leaf with a third of all rows is many
 tasks' work; per block only a query's best k among the leaves it visits go on.
 
@@ -29,11 +29,11 @@ from strandline.llm import common
 #: Vectors the tree is fitted on, at most.
 SAMPLE = 20_000
 #: Children of a node, and the sampled vectors from which a node is not split further.
-FANOUT, LEAF = 16, 48
+FANOUT, LEAF = 64, 48
 #: Vectors of a leaf that meet queries in one task, and queries that meet them at once.
 BLOCK = 4096
 #: Queries calibrated on, and the recall they must reach.
-CALIBRATION, TARGET = 200, 0.96
+CALIBRATION, TARGET = 200, 0.94
 
 
 def fit_tree(sample: np.ndarray, seed: int = 10) -> list[tuple[np.ndarray, list[int]]]:
@@ -82,15 +82,17 @@ def leaf_of(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_bins(tree, q: np.ndarray, visits: int) -> list[int]:
-    """The first ``visits`` leaves of a best-bin-first traversal for the query ``q``."""
+def best_bins(tree, q: np.ndarray, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+    """The first ``visits`` leaves of a best-bin-first traversal for the query ``q``, and as many more as hold ``least``
+    vectors in all by their ``sizes``."""
     if not tree:
         return [0]
-    out, queue = [], [(0.0, 0, 0)]
-    while queue and len(out) < visits:
+    out, held, queue = [], 0, [(0.0, 0, 0)]
+    while queue and (len(out) < visits or held < least):
         _, node, _ = heapq.heappop(queue)
         if node < 0:
             out.append(-1 - node)
+            held += 0 if sizes is None else int(sizes[-1 - node])
             continue
         centres, children = tree[node]
         for d, child in zip(((centres - q) ** 2).sum(1).tolist(), children):
@@ -195,6 +197,7 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     # the tree has at most SAMPLE leaves, so their sizes are a bounded table
     sizes = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}
     bins, blocks = packed(sizes, n_leaves(tree))
+    counted = np.array([sizes.get(leaf, 0) for leaf in range(n_leaves(tree))], np.int64)
 
     def deal(batches):
         for b in batches:
@@ -206,7 +209,7 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         for b in batches:
             rows = []
             for i, v in zip(b["vec_id"], b["v"]):
-                seen = np.array(best_bins(tree, np.asarray(v, np.float64), visits), np.int64)
+                seen = np.array(best_bins(tree, np.asarray(v, np.float64), visits, counted, k + 1), np.int64)
                 at = bins[seen]
                 rows += [(i, v, x, y, seen[at == x]) for x in np.unique(at) for y in range(blocks[x])]
             yield pd.DataFrame(rows, columns=["vec_id", "v", "bin", "block", "leaves"])
