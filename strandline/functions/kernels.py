@@ -111,11 +111,6 @@ def change_maps(data: Column) -> Column:
     return F.pandas_udf(run, T.ArrayType(T.ArrayType(T.IntegerType())), F.PandasUDFType.SCALAR)(data)
 
 
-def map_summary(cells: Column, threshold: int = 16) -> Column:
-    """(peak, share) of a map: its largest value, and the share of cells over the threshold."""
-    return F.struct(F.array_max(cells).alias("peak"), (F.size(F.filter(cells, lambda c: c > threshold)) / F.size(cells)).alias("share"))
-
-
 def ending(media: Column) -> Column:
     """The file ending of a media type, parameters ignored; bin for others."""
     plain = F.lower(F.trim(F.substring_index(media, ";", 1)))

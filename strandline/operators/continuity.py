@@ -21,15 +21,25 @@ def gaps(found: DataFrame, stream: str, first: int = 0) -> DataFrame:
     return found.withColumn("_p", before).where("lo > _p + 1").select(stream, (F.col("_p") + 1).alias("lo"), (F.col("lo") - 1).alias("hi"))
 
 
-def missing_info(received: DataFrame, stream: str, seq: str, cap: int = 20) -> DataFrame:
-    """Per stream: received (distinct), max_sequence, n_missing (exact) and the first ``cap`` missing numbers."""
+def missing_info(received: DataFrame, stream: str, seq: str, cap: int = 20, ends: DataFrame | None = None) -> DataFrame:
+    """Per stream: received (distinct), max_sequence, n_missing (exact) and the first ``cap`` missing numbers.
+
+    ``ends`` (stream, ended, expected): the numbers from the greatest one received up to what an ended stream's client
+    says it sent are missing too; a null expected says nothing."""
     held = received.groupBy(stream).agg(F.count_distinct(seq).alias("received"), F.max(seq).alias("max_sequence"))
     order = W.partitionBy(stream).orderBy("lo")
-    holes = gaps(runs(received, stream, seq), stream).withColumn("_before", F.sum(F.col("hi") - F.col("lo") + 1).over(order) - (F.col("hi") - F.col("lo") + 1))
+    stop = F.col("max_sequence") + 1
+    if ends is not None:
+        sent = F.coalesce(F.when(F.col("ended"), F.col("expected")), F.lit(0))
+        held = held.join(ends.select(stream, sent.alias("_sent")), stream, "left")
+        stop = F.greatest(stop, F.coalesce("_sent", F.lit(0)))
+    held = held.withColumn("_stop", stop)
+    tails = held.where(F.col("_stop") > F.col("max_sequence") + 1).select(stream, (F.col("max_sequence") + 1).alias("lo"), (F.col("_stop") - 1).alias("hi"))
+    holes = gaps(runs(received, stream, seq), stream).select(stream, "lo", "hi").unionByName(tails).withColumn("_before", F.sum(F.col("hi") - F.col("lo") + 1).over(order) - (F.col("hi") - F.col("lo") + 1))
     few = holes.where(F.col("_before") < cap).groupBy(stream).agg(
         F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "hi"))), lambda r: F.sequence(r.lo, F.least(r.hi, r.lo + cap)))), 1, cap).alias("missing")
     )
-    total = F.col("max_sequence") + 1 - F.col("received")
+    total = F.col("_stop") - F.col("received")
     return held.join(few, stream, "left").select(stream, "received", "max_sequence", total.alias("n_missing"), F.coalesce("missing", F.array().cast("array<bigint>")).alias("missing"))
 
 

@@ -54,7 +54,8 @@ def cut_points(levels: DataFrame, group: str, order: str, level: str, quiet_hops
 
     def cut(frame: pd.DataFrame) -> pd.DataFrame:
         x = frame.sort_values(order, kind="stable")[level].to_numpy(float)
-        quiet = np.concatenate([[False], x < max(200.0, 2.5 * np.percentile(x, 20)), [False]])
+        below = x < max(200.0, 2.5 * np.percentile(x, 20))
+        quiet = np.concatenate([[False], below & ~below.all(), [False]])  # without any speech there is no pause in it
         begin, stop = np.flatnonzero(quiet[1:] & ~quiet[:-1]), np.flatnonzero(~quiet[1:] & quiet[:-1])
         middles = [(a + b) // 2 for a, b in zip(begin, stop) if b - a >= quiet_hops]
         at, cuts = 0, []

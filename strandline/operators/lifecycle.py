@@ -105,9 +105,23 @@ def frame_plan(frames: DataFrame, key: str, span: str, per: float, least: int, m
     return frames.select(key, F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.col(span) / per))).cast("int").alias("n_frames"))
 
 
-def change_class(peak: Column, share: Column) -> Column:
-    """IDLE, LAYOUT (much of the frame changed) or TEXT."""
-    return F.when(peak < 8, "IDLE").when(share > 0.35, "LAYOUT").otherwise("TEXT")
+# The change from which a cell counts, and the count of cells beyond which a change is one of layout.
+CELL, WIDE = 13, 32
+
+
+def map_summary(cells: Column, cell: int = CELL) -> Column:
+    """struct(peak, spread) of a change map: its greatest cell, and how many are at or over ``cell``; 0 and 0 if empty."""
+    return F.struct(F.coalesce(F.array_max(cells), F.lit(0)).alias("peak"), F.size(F.filter(cells, lambda v: v >= cell)).alias("spread"))
+
+
+def change_class(peak: Column, spread: Column, idle: int, layout: int, wide: int = WIDE) -> Column:
+    """IDLE (a peak of ``idle`` or less), LAYOUT (a peak over ``layout``, or more than ``wide`` cells) or TEXT."""
+    return F.when(peak <= idle, "IDLE").when((peak > layout) | (spread > wide), "LAYOUT").otherwise("TEXT")
+
+
+def linear_backoff(attempt: Column, step: float) -> Column:
+    """The wait before retry number ``attempt`` (from 1): a step more each time."""
+    return F.lit(step) * attempt
 
 
 def backoff(attempt: Column, base: float, cap: float) -> Column:

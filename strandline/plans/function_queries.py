@@ -40,15 +40,16 @@ def caption_budget(spark, d):
 
 
 def redaction(spark, d):
-    return _docs(spark, d).select("doc_id", text.secrets_found(F.col("text")).alias("n"), F.md5(text.redacted(F.col("text"))).alias("h"))
+    r = _docs(spark, d).select("doc_id", text.redaction(F.col("text")).alias("r"))
+    return r.select("doc_id", "r.n", F.md5("r.text").alias("h"))
 
 
 def emails_found(spark, d):
-    return _docs(spark, d).select("doc_id", F.regexp_count("text", F.lit(text.SECRETS[-1][1])).alias("n")).where("n > 0")
+    return _docs(spark, d).select("doc_id", F.regexp_count("text", F.lit(text.EMAIL)).alias("n")).where("n > 0")
 
 
 def token_scores(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.left("text", F.lit(400)).alias("text"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     q = c.where("role = 'user'").select("conv_id", F.col("turn").alias("qt"), text.tokens(F.col("text")).alias("gold"))
     a = c.where("role = 'assistant'").select("conv_id", "turn", text.tokens(F.col("text")).alias("guess"))
     both = a.join(q, (a.conv_id == q.conv_id) & (a.turn == q.qt + 1)).drop(q.conv_id)
@@ -312,7 +313,7 @@ QUERIES = {
     "caption_budget": (caption_budget, "select doc_id, greatest(0, cast(round_even(n_chars / 10.0::double * 1.25::double, 0) as bigint)) as cap from documents"),
     "redaction": (redaction, None),
     "emails_found": (emails_found, "select doc_id, cast(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) as integer) as n from documents where len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) > 0"),
-    "token_scores": (token_scores, f"""with c as (select conv_id, turn, role, substr(text, 1, 400) as text from conversations), x as (select a.conv_id, a.turn, {_tok('a.text')} as guess, {_tok('q.text')} as gold from c a join c q on a.conv_id = q.conv_id and a.turn = q.turn + 1 where a.role = 'assistant' and q.role = 'user'),
+    "token_scores": (token_scores, f"""with c as (select conv_id, turn, role, text from conversations), x as (select a.conv_id, a.turn, {_tok('a.text')} as guess, {_tok('q.text')} as gold from c a join c q on a.conv_id = q.conv_id and a.turn = q.turn + 1 where a.role = 'assistant' and q.role = 'user'),
         y as (select *, coalesce(list_sum(list_transform(list_distinct(guess), lambda w: least(len(list_filter(guess, lambda v: v = w)), len(list_filter(gold, lambda v: v = w))))), 0) as b from x)
         select conv_id, turn, len(gold)::integer as n_gold, len(guess)::integer as n_guess, case when len(gold) + len(guess) = 0 then 1.0::double when b = 0 then 0.0::double else 2.0::double * b / (len(gold) + len(guess)) end as f1,
         case when contains(array_to_string(guess, ' '), array_to_string(gold, ' ')) then 1.0::double else 0.0::double end as held from y"""),

@@ -98,11 +98,14 @@ def frame_counts(spark, d):
 
 
 def change_classes(spark, d):
-    return table(spark, d, "part").select("p_partkey", lifecycle.change_class(F.col("p_size"), F.col("p_partkey") % 10 / 10.0).alias("kind"))
+    cells = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.pmod(F.col("p_partkey") * i, F.col("p_size") + 1).cast("int"))
+    p = table(spark, d, "part").select("p_partkey", lifecycle.map_summary(cells).alias("s"))
+    return p.select("p_partkey", "s.peak", "s.spread", lifecycle.change_class(F.col("s.peak"), F.col("s.spread"), 8, 40).alias("kind"))
 
 
 def retry_delays(spark, d):
-    return _events(spark, d).select("event_id", lifecycle.backoff((F.col("k") % 8).cast("double"), 0.5, 30.0).alias("delay"))
+    n = F.col("k") % 8
+    return _events(spark, d).select("event_id", lifecycle.backoff(n.cast("double"), 0.5, 30.0).alias("delay"), lifecycle.linear_backoff(n + 1, 0.5).alias("linear"))
 
 
 def windowed_rms(spark, d):
@@ -111,7 +114,7 @@ def windowed_rms(spark, d):
 
 
 def quiet_threshold(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(F.greatest(F.lit(20.0), 2.5 * F.percentile("p_size", 0.2)).alias("threshold"))
+    return table(spark, d, "part").groupBy("p_brand").agg(F.greatest(F.lit(200.0), 2.5 * F.percentile(F.col("p_size") * 10, 0.2)).alias("threshold"))
 
 
 def quality_gate(spark, d):
@@ -139,8 +142,7 @@ def routes(spark, d):
 
 
 def last_marker(spark, d):
-    x = F.concat_ws("<image>", F.left("text", F.lit(20)), F.lit("a"), F.substring("text", 21, 30))
-    return table(spark, d, "benchmark").select("item_id", F.substring_index(x, "<image>", -1).alias("tail"))
+    return table(spark, d, "benchmark").select("item_id", F.substring_index("text", ". ", -1).alias("tail"))
 
 
 def permanent_holes(spark, d):
@@ -194,15 +196,16 @@ QUERIES = {
     "readouts": (readouts, """with m as (select cast(source[4:] as integer) as step, cast(doc_id % 20 as integer) as day, avg(quality) as score from documents join labels using (doc_id) where doc_id % 20 <= cast(source[4:] as integer) group by 1, 2),
         b as (select day, min(score) as base from m group by 1) select step, round(avg(score), 9) as seen, round(avg(base), 9) as base, round(avg(score) - avg(base), 9) as separation from m join b using (day) group by 1"""),
     "frame_counts": (frame_counts, "select p_partkey, cast(greatest(2, least(10, ceil(p_size / 4.0::double))) as integer) as n_frames from part"),
-    "change_classes": (change_classes, "select p_partkey, case when p_size < 8 then 'IDLE' when p_partkey % 10 / 10.0::double > 0.35 then 'LAYOUT' else 'TEXT' end as kind from part"),
-    "retry_delays": (retry_delays, E + "select event_id, least(30.0::double, 0.5::double * pow(2.0::double, k % 8)) as delay from e"),
+    "change_classes": (change_classes, """with m as (select p_partkey, cast(max(p_partkey * i % (p_size + 1)) as integer) as peak, cast(count(*) filter (p_partkey * i % (p_size + 1) >= 13) as integer) as spread from part, range(1, 65) r(i) group by 1)
+        select p_partkey, peak, spread, case when peak <= 8 then 'IDLE' when peak > 40 or spread > 32 then 'LAYOUT' else 'TEXT' end as kind from m"""),
+    "retry_delays": (retry_delays, E + "select event_id, least(30.0::double, 0.5::double * pow(2.0::double, k % 8)) as delay, 0.5::double * (k % 8 + 1) as linear from e"),
     "windowed_rms": (windowed_rms, "select event_id // 20 as hop, round(sqrt(sum(cast(round(value) as bigint) * cast(round(value) as bigint)) / count(*)), 6) as rms from events group by 1"),
-    "quiet_threshold": (quiet_threshold, "select p_brand, greatest(20.0::double, 2.5::double * quantile_cont(p_size::double, 0.2)) as threshold from part group by 1"),
+    "quiet_threshold": (quiet_threshold, "select p_brand, greatest(200.0::double, 2.5::double * quantile_cont(10 * p_size::double, 0.2)) as threshold from part group by 1"),
     "quality_gate": (quality_gate, "select doc_id, quality from documents left join labels using (doc_id) where quality is null or quality >= 1"),
     "block_quality": (block_quality, "select source, min(quality) as quality, max(n_chars) as longest, count(*) filter (n_chars > 6000) as over_cap, count(*) as n from documents left join labels using (doc_id) group by 1"),
     "validity_gate": (validity_gate, "select doc_id, length(trim(text)) > 120 and not contains(text, 'RECORD') and contains(text, 'the') as valid, regexp_matches(lower(substr(text, 1, 300)), 'password|secret|idiot') as calibration from documents"),
     "routes": (routes, "select c_custkey, case c_mktsegment when 'BUILDING' then 'fast' when 'MACHINERY' then 'slow' else 'default' end as route from customer"),
-    "last_marker": (last_marker, "select item_id, substr(text, 21, 30) as tail from benchmark"),
+    "last_marker": (last_marker, "select item_id, string_split(text, '. ')[-1] as tail from benchmark"),
     "permanent_holes": (permanent_holes, "with o as (select l_orderkey from lineitem group by 1 having max(l_linenumber) >= 6) select l_returnflag as stage, count(distinct l_orderkey) as n from lineitem where l_orderkey in (select l_orderkey from o) and l_returnflag <> 'A' group by 1"),
     "new_spans": (new_spans, E + ", s as (select user_id, event_id, least(greatest(value, 0), 60) as a, least(greatest(k, 0), 60) as b from e) select user_id, event_id, cast(row_number() over (partition by user_id order by a, event_id) as integer) as place from s where b > a"),
     "adjacent_loss": (adjacent_loss, "select o_orderpriority, count(*) as n, min(o_custkey % 50) as least, max(o_custkey % 50) as greatest, median(o_custkey % 50) as median from orders group by 1"),

@@ -106,8 +106,14 @@ def stream_gaps(spark, d):
     return continuity.gaps(continuity.runs(_events(spark, d), "user_id", "k"), "user_id")
 
 
+def _ends(e):
+    """End markers of streams: those that ended, and how many numbers their client says it sent."""
+    return e.groupBy("user_id").agg((F.max("us") < 1706572800000000).alias("ended"), (F.max("k") + 1 + F.col("user_id") % 4).alias("expected"), F.count_if(F.col("event_type") == "error").alias("dead"))
+
+
 def missing_info(spark, d):
-    got = continuity.missing_info(_events(spark, d), "user_id", "k", 5)
+    e = _events(spark, d)
+    got = continuity.missing_info(e, "user_id", "k", 5, _ends(e).select("user_id", "ended", "expected"))
     return got.withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))
 
 
@@ -123,8 +129,8 @@ def sequence_states(spark, d):
 
 def gap_report(spark, d):
     e = _events(spark, d)
-    info = continuity.missing_info(e, "user_id", "k").select("user_id", "n_missing")
-    ends = e.groupBy("user_id").agg((F.max("us") < 1706572800000000).alias("ended"), F.count_if(F.col("event_type") == "error").alias("dead"))
+    ends = _ends(e)
+    info = continuity.missing_info(e, "user_id", "k", ends=ends.select("user_id", "ended", "expected")).select("user_id", "n_missing")
     return info.join(ends, "user_id").select("user_id", "n_missing", continuity.verdict(F.col("ended"), F.col("n_missing"), F.col("dead")).alias("verdict"))
 
 
@@ -146,7 +152,7 @@ def pending_with_flag(spark, d):
 
 
 def _turns(spark, d):
-    e = _events(spark, d).where("user_id < 40")
+    e = _events(spark, d)
     splits = e.where("event_type in ('view', 'click')").select("event_id", "user_id", (F.col("us") / 1000).cast("long").alias("a_start"), ((F.col("us") / 1000).cast("long") + 3600000).alias("a_stop"))
     turns = e.where("event_type = 'purchase'").select("user_id", F.concat(F.lit("S"), (F.col("k") % 4).cast("string")).alias("speaker"), ((F.col("us") / 1000).cast("long") - 1800000).alias("b_start"), ((F.col("us") / 1000).cast("long") + 5400000).alias("b_stop"))
     return splits, turns
@@ -230,8 +236,8 @@ def strike_counts(spark, d):
     return ledgers.strikes(e, "user_id", "day", "passed", 3)
 
 
-_TURNS = E + """, s as (select event_id, user_id, us // 1000 as a_start, us // 1000 + 3600000 as a_stop from e where user_id < 40 and event_type in ('view', 'click')),
- t as (select user_id, 'S' || (k % 4) as speaker, us // 1000 - 1800000 as b_start, us // 1000 + 5400000 as b_stop from e where user_id < 40 and event_type = 'purchase') """
+_TURNS = E + """, s as (select event_id, user_id, us // 1000 as a_start, us // 1000 + 3600000 as a_stop from e where event_type in ('view', 'click')),
+ t as (select user_id, 'S' || (k % 4) as speaker, us // 1000 - 1800000 as b_start, us // 1000 + 5400000 as b_stop from e where event_type = 'purchase') """
 _RUNS = E + """, u as (select distinct user_id, k from e), i as (select *, k - row_number() over (partition by user_id order by k) as g from u),
  r as (select user_id, min(k) as lo, max(k) as hi from i group by user_id, g), h as (select user_id, coalesce(lag(hi) over (partition by user_id order by lo), -1) + 1 as lo, lo - 1 as hi from r),
  gaps as (select * from h where lo <= hi) """
@@ -277,8 +283,9 @@ QUERIES = {
     "stream_gaps": (stream_gaps, _RUNS + "select * from gaps"),
     "missing_info": (
         missing_info,
-        _RUNS + """, m as (select user_id, unnest(range(lo, hi + 1)) as x from gaps), c as (select user_id, string_agg(x, ',' order by x) as missing from (select * from m qualify row_number() over (partition by user_id order by x) <= 5) group by 1)
-        select u.user_id, count(*) as received, max(k) as max_sequence, max(k) + 1 - count(*) as n_missing, coalesce(any_value(missing), '') as missing from u left join c using (user_id) group by 1""",
+        _RUNS + """, t as (select user_id, max(k) + 1 as lo, case when max(us) < 1706572800000000 then max(k) + 1 + user_id % 4 else max(k) + 1 end as stop from e group by 1),
+        m as (select user_id, unnest(range(lo, hi + 1)) as x from gaps union all select user_id, unnest(range(lo, stop)) from t), c as (select user_id, string_agg(x, ',' order by x) as missing from (select * from m qualify row_number() over (partition by user_id order by x) <= 5) group by 1)
+        select u.user_id, count(*) as received, max(k) as max_sequence, any_value(stop) - count(*) as n_missing, coalesce(any_value(missing), '') as missing from u join t using (user_id) left join c using (user_id) group by 1""",
     ),
     "delivery_kinds": (
         delivery_kinds,
@@ -292,7 +299,7 @@ QUERIES = {
     ),
     "gap_report": (
         gap_report,
-        E + """, a as (select user_id, max(k) + 1 - count(distinct k) as n_missing, max(us) < 1706572800000000 as ended, count(*) filter (event_type = 'error') as dead from e group by 1)
+        E + """, a as (select user_id, max(k) + 1 - count(distinct k) + case when max(us) < 1706572800000000 then user_id % 4 else 0 end as n_missing, max(us) < 1706572800000000 as ended, count(*) filter (event_type = 'error') as dead from e group by 1)
         select user_id, n_missing, case when not ended then 'recording' when n_missing > 0 or dead > 0 then 'gaps' else 'clean' end as verdict from a""",
     ),
     "reconcile_days": (

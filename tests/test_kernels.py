@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
+from strandline.operators import lifecycle
 
 
 @pytest.mark.parametrize(
@@ -34,5 +35,5 @@ def test_columns(spark):
     assert (got[0].s.width, got[0].s.height) == (772, 258) and got[1].s.width is None
     assert len(got[0].m) == 1 and got[0].m[0][1023] == 40 and got[1].m is None
     assert [r.e for r in got] == ["jpg", "bin"] and [r.n for r in got] == ["_a_b", "unnamed"]
-    s = spark.range(1).select(kernels.map_summary(F.array(*map(F.lit, (0, 20, 40, 3)))).alias("s")).first().s
-    assert (s.peak, s.share) == (40, 0.5)
+    s = spark.range(1).select(lifecycle.map_summary(F.array(*map(F.lit, (0, 13, 40, 3)))).alias("s"), lifecycle.map_summary(F.array().cast("array<int>")).alias("t")).first()
+    assert (s.s.peak, s.s.spread) == (40, 2) and (s.t.peak, s.t.spread) == (0, 0)
