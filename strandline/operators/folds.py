@@ -20,7 +20,7 @@ def drop_near_repeats(df: DataFrame, group: str, order: str, text: str, ratio: f
         frame = frame.sort_values(order, kind="stable")
         kept, last = [], None
         for t in frame[text].fillna(""):
-            new = last is None or SequenceMatcher(None, last, t, autojunk=False).ratio() < ratio
+            new = last is None or SequenceMatcher(None, last, t).ratio() < ratio
             kept.append(new)
             last = t if new else last
         return frame[kept]

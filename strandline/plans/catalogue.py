@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define ``QUERIES: dict[str, tuple[callable, str | None]]``.
-MODULES = ["strandline.plans.daylog_queries", "strandline.plans.record_queries", "strandline.plans.function_queries", "strandline.plans.composite_queries", "strandline.plans.lifecycle_queries"]
+MODULES = [
+    f"strandline.plans.{name}_queries"
+    for name in ("daylog", "record", "function", "composite", "lifecycle", "window", "evaluation", "journal")
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

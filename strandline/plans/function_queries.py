@@ -92,12 +92,6 @@ def captions(spark, d):
     return p.select("p_partkey", text.caption(F.col("p_brand"), F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(" "), F.when(F.col("p_size") % 2 == 0, F.col("p_name"))).alias("caption"))
 
 
-def role_of_box(spark, d):
-    p = table(spark, d, "part").withColumns({"x": F.col("p_size") / 50.0, "y": (F.col("p_partkey") % 100) / 100.0})
-    role = F.when(F.col("y") < 0.05, "menubar").when(F.col("y") > 0.95, "statusbar").when(F.col("x") < 0.15, "sidebar").when((F.col("y") < 0.15) & (F.col("x") > 0.3), "title").otherwise("body")
-    return p.select("p_partkey", role.alias("role"))
-
-
 def grid_buckets(spark, d):
     e = _events(spark, d)
     return e.groupBy(F.floor(F.col("us") / 10_000_000).alias("bucket")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
@@ -193,16 +187,6 @@ def decay_matrix(spark, d):
     return stats.decay_matrix(_judged(spark, d), "step", "day", "ok")
 
 
-def retention(spark, d):
-    return stats.retention(decay_matrix(spark, d), "step", "day")
-
-
-def gate_checks(spark, d):
-    s = _docs(spark, d).join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.avg("quality").alias("recall"), F.avg("toxic").alias("traps"), F.count("*").alias("n"))
-    g = checks.gate({"recall": F.col("recall") >= 0.85, "traps": F.col("traps") <= 0.15, "size": F.col("n") >= 20})
-    return s.select("source", g.passed.alias("passed"), g.reasons.alias("reasons"))
-
-
 def contract_violations(spark, d):
     e = _events(spark, d)
     v = checks.violations({"k": (F.col("k").between(5, 95), "out of range"), "event_type": (F.col("event_type").isin("view", "click", "purchase"), "not in enum"), "value": (F.col("value") > 1, "too small")})
@@ -265,11 +249,6 @@ def rate_over_range(spark, d):
     return got.select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", (F.col("n") / 7200.0).alias("rate"))
 
 
-def verdict_ladder(spark, d):
-    s = _docs(spark, d).join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.avg("quality").alias("x"))
-    return s.select("source", F.when(F.col("x") < 0.5, "COLLAPSED").when(F.col("x") < 0.8, "DEGRADED").when(F.col("x") < 0.95, "SURVIVED").otherwise("INTACT").alias("verdict"))
-
-
 def active_dialects(spark, d):
     return _events(spark, d).groupBy("event_type").agg(F.count_distinct(F.col("k") % 7).alias("n"), (F.count_distinct(F.col("k") % 7) > 1).alias("alert"))
 
@@ -327,7 +306,6 @@ QUERIES = {
     "pipeline_versions": (pipeline_versions, "select user_id, string_agg(distinct event_type, '+' order by event_type) as version from events group by 1"),
     "split_reply": (split_reply, "select doc_id, cast(case when instr(text, chr(10)) > 0 then instr(text, chr(10)) - 1 else length(text) end as integer) as n_text, cast(case when instr(text, chr(10)) > 0 then length(text) - instr(text, chr(10)) end as integer) as n_tail from documents"),
     "captions": (captions, "select p_partkey, concat_ws('. ', concat_ws(' — ', p_brand, case when p_size > 25 then p_type end), case when p_size % 2 = 0 then p_name end) as caption from part"),
-    "role_of_box": (role_of_box, "select p_partkey, case when (p_partkey % 100) / 100.0::double < 0.05 then 'menubar' when (p_partkey % 100) / 100.0::double > 0.95 then 'statusbar' when p_size / 50.0::double < 0.15 then 'sidebar' when (p_partkey % 100) / 100.0::double < 0.15 and p_size / 50.0::double > 0.3 then 'title' else 'body' end as role from part"),
     "grid_buckets": (grid_buckets, E + "select us // 10000000 as bucket, count(*) as n, min(event_id) as first_id from e group by 1"),
     "window_ids": (window_ids, E + "select event_id, strftime(ts, 'w%Y%m%dT%H%M%SZ') as window_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as iso_z, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when us % 1000000 = 0 then '' else '.' || lpad(cast(us % 1000000 as varchar), 6, '0') end || '+00:00' as iso_offset from e"),
     "spans": (spans, E + ", n as (select event_id, us, lead(us) over (partition by user_id order by us, event_id) as nx from e) select event_id, greatest(0.0::double, (nx - us) / 1e6::double) as seconds from n where nx is not null"),
@@ -347,10 +325,6 @@ QUERIES = {
     "percentiles": (percentiles, "select p_brand, round(quantile_cont(p_size::double, 0.2), 6) as p20, round(quantile_cont(p_size::double, 0.5), 6) as p50, round(quantile_cont(p_size::double, 0.9), 6) as p90 from part group by 1"),
     "judged_summary": (judged_summary, "select source, count(quality) as n, count(*) - count(quality) as n_unjudged, coalesce(avg(quality), 0.0::double) as judge_exact from documents left join labels using (doc_id) group by 1"),
     "decay_matrix": (decay_matrix, "select cast(source[4:] as integer) as step, cast(doc_id % 20 as integer) as day, avg(quality) as score from documents join labels using (doc_id) where doc_id % 20 <= cast(source[4:] as integer) group by 1, 2"),
-    "retention": (retention, """with m as (select cast(source[4:] as integer) as step, cast(doc_id % 20 as integer) as day, avg(quality) as score from documents join labels using (doc_id) where doc_id % 20 <= cast(source[4:] as integer) group by 1, 2),
-        f as (select day, arg_min(score, step) as f, min(step) as s from m group by 1) select step, day, score / f as kept from m join f using (day) where step > s and f > 1e-6"""),
-    "gate_checks": (gate_checks, """with s as (select source, avg(quality) as r, avg(toxic) as t, count(*) as n from documents join labels using (doc_id) group by 1)
-        select source, r >= 0.85 and t <= 0.15 and n >= 20 as passed, concat_ws(',', case when not r >= 0.85 then 'recall' end, case when not t <= 0.15 then 'traps' end, case when not n >= 20 then 'size' end) as reasons from s"""),
     "contract_violations": (contract_violations, E + "select event_id, concat_ws('; ', case when event_type not in ('view', 'click', 'purchase') then 'event_type: not in enum' end, case when k not between 5 and 95 then 'k: out of range' end, case when not value > 1 then 'value: too small' end) as violations from e"),
     "valid_ids": (valid_ids, "select event_id, event_id % 3 = 0 as ok, event_id % 3 <> 1 as path_ok from events"),
     "heldout_p_value": (heldout_p_value, None),
@@ -363,7 +337,6 @@ QUERIES = {
     "status_maps": (status_maps, "select l_orderkey, bool_and(l_returnflag <> 'R') as all_ok, cast(count(distinct l_returnflag) as integer) as n_stages from lineitem group by 1"),
     "recency": (recency, "with l as (select o_custkey, max(o_orderkey) as last from orders group by 1) select o_custkey, cast(row_number() over (partition by o_custkey % 16 order by last desc) as integer) as rank from l"),
     "rate_over_range": (rate_over_range, E + ", h as (select unnest([us // 3600000000, us // 3600000000 - 1]) * 3600000000 as start_us, event_type from e) select start_us, event_type, count(*) as n, count(*) / 7200.0::double as rate from h group by 1, 2"),
-    "verdict_ladder": (verdict_ladder, "with s as (select source, avg(quality) as x from documents join labels using (doc_id) group by 1) select source, case when x < 0.5 then 'COLLAPSED' when x < 0.8 then 'DEGRADED' when x < 0.95 then 'SURVIVED' else 'INTACT' end as verdict from s"),
     "active_dialects": (active_dialects, E + "select event_type, count(distinct k % 7) as n, count(distinct k % 7) > 1 as alert from e group by 1"),
     "exposition": (exposition, "select 'events_total{type=\"' || event_type || '\"} ' || count(*) as line from events group by event_type"),
     "differential": (differential, "with a as (select user_id, count(*) as n from events group by 1), b as (select user_id, count(*) as n from events where event_id % 500 <> 0 group by 1) select *, 'left' as side from (select * from a except all select * from b) union all select *, 'right' from (select * from b except all select * from a)"),

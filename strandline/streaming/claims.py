@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,12 +123,30 @@ def first_deliveries(deliveries: DataFrame, delay: str = "1 hour") -> DataFrame:
     return deliveries.withWatermark("at", delay).dropDuplicatesWithinWatermark(["chunk_id"])
 
 
+def upserted(spark, store: str, key: str) -> DataFrame:
+    """The rows of a store that ``upsert_batch`` writes: of each key the one of the latest batch."""
+    newest = W.partitionBy(key).orderBy(F.desc("batch"))
+    return spark.read.parquet(store).withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+
+
 def upsert_batch(store: str, key: str, body: str, at: str):
-    """A foreachBatch function: folds the batch into the Parquet store at ``store``, one folder per batch number, so that a
-    batch that is run again overwrites its own folder. The newest change of a key is the row of its greatest updated_at."""
+    """A foreachBatch function: folds the batch into the Parquet store at ``store``. A batch writes one folder, of the keys
+    whose newest body differs from what earlier batches hold, so that equal bodies keep their stamp and a batch that is run
+    again overwrites its own folder with the same rows. ``upserted`` reads the store."""
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         last = batch.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(F.desc(at)))).where("_rn = 1").select(key, body, at)
+        try:
+            spark.read.parquet(store)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            earlier = spark.read.parquet(store).where(F.col("batch") < number)
+            newest = earlier.groupBy(key).agg(F.max_by(F.struct(F.col(body)), "batch").alias("_was"))
+            both = last.join(newest, key, "left")
+            last = both.where(F.col("_was").isNull() | ~F.col(body).eqNullSafe(F.col(f"_was.{body}"))).drop("_was")
         last.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return write

@@ -165,7 +165,7 @@ def test_folds_equal_loops(spark):
     for g in range(4):
         last = None
         for _, i, t in (r for r in rows if r[0] == g):
-            if last is None or SequenceMatcher(None, last, t, autojunk=False).ratio() < 0.8:
+            if last is None or SequenceMatcher(None, last, t).ratio() < 0.8:
                 want.add((g, i))
                 last = t
     assert got == want
