@@ -198,6 +198,16 @@ def _unrun(pairs: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Integers as planes of their first bytes, second bytes and so on: the exchange's compression packs what is alike."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unplaned(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def _bytes(rows: list[tuple], names: str, kinds: list) -> pa.Table:
     columns = list(zip(*rows)) or [()] * len(kinds)
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names.split())
@@ -303,7 +313,7 @@ def stretches_of(texts: pa.Table, told: pa.Table, bits: int) -> pa.Table:
     rows = [(0, r, block, key[order[a:b]].tobytes(), fold[order[a:b]].tobytes(), None) for r, (a, b) in bound.items()]
     _, bound = _split(s.digest, bits)  # the digests are sorted
     doc = s.doc[s.first]
-    rows += [(1, r, block, s.digest[a:b].tobytes(), doc[a:b].tobytes(), s.check[a:b].tobytes()) for r, (a, b) in bound.items()]
+    rows += [(1, r, block, s.digest[a:b].tobytes(), _planes(doc[a:b]), s.check[a:b].tobytes()) for r, (a, b) in bound.items()]
     return _bytes(rows, " ".join(_CLASS), _CLASS_KINDS)
 
 
@@ -338,7 +348,8 @@ def merge_stretches(table: pa.Table) -> pa.Table:
         at = [i for i, k in enumerate(kinds) if k == kind]
         if not at:
             continue
-        k, v = [np.frombuffer(keys[i], key_type) for i in at], [np.frombuffer(values[i], value_type) for i in at]
+        k = [np.frombuffer(keys[i], key_type) for i in at]
+        v = [_unplaned(values[i], value_type) if kind else np.frombuffer(values[i], value_type) for i in at]
         c = [np.frombuffer(checks[i], np.uint32) for i in at] if kind else None
         known = Merged(k, v, c)
         for j, (i, own, value) in enumerate(zip(at, k, v)):
@@ -402,10 +413,10 @@ def candidates(texts: pa.Table, shared: pa.Table, told: pa.Table, bits: int, wid
         parts += [_runs(at[later]), _runs(firsts), np.stack([at[more], cls[more]], 1).astype(np.int32)]
         digest, check = shard.windows(firsts), shard.checks(firsts)
         order, bound = _split(digest, wide)
-        sent = digest[order], check[order], doc_of[order]
-        rows = [(r, block, *(x[a:b].tobytes() for x in sent), None) for r, (a, b) in bound.items()]
+        digest, check, doc_of = digest[order], check[order], doc_of[order]
+        rows = [(r, block, digest[a:b].tobytes(), check[a:b].tobytes(), _planes(doc_of[a:b]), None) for r, (a, b) in bound.items()]
     parts += [np.zeros((0, 2), np.int32)] * (4 - len(parts))
-    local = np.array([len(x) for x in parts], np.int32).tobytes() + b"".join(x.tobytes() for x in parts)
+    local = np.array([len(x) for x in parts], np.int32).tobytes() + _planes(np.concatenate(parts))
     return _bytes([*rows, (block % (1 << wide), block, None, None, None, local)], names, kinds)
 
 
@@ -415,7 +426,7 @@ def merge_runs(table: pa.Table) -> pa.Table:
     blocks, ranges = table.column("block").to_pylist(), table.column("range").to_pylist()
     digests = [np.frombuffer(x, _U) if x is not None else None for x in table.column("digests").to_pylist()]
     checks = [np.frombuffer(x, np.uint32) if x is not None else None for x in table.column("checks").to_pylist()]
-    docs = [np.frombuffer(x, np.int64) if x is not None else None for x in table.column("docs").to_pylist()]
+    docs = [_unplaned(x, np.int64) if x is not None else None for x in table.column("docs").to_pylist()]
     local = table.column("local").to_pylist()
     some = [i for i, d in enumerate(digests) if d is not None]
     rows = [(blocks[i], ranges[i], None, x) for i, x in enumerate(local) if x is not None]
@@ -437,7 +448,7 @@ def removed(texts: pa.Table, told: pa.Table, wide: int) -> pa.Table:
     local = [x for x in told.column("local").to_pylist() if x is not None]
     if local:
         n0, n1, n2, _ = np.frombuffer(local[0][:16], np.int32).tolist()
-        pairs = np.frombuffer(local[0][16:], np.int32).reshape(-1, 2)
+        pairs = _unplaned(local[0][16:], np.int32).reshape(-1, 2)
         settled, later, firsts, more = _unrun(pairs[:n0]), _unrun(pairs[n0 : n0 + n1]), _unrun(pairs[n0 + n1 : n0 + n1 + n2]), pairs[n0 + n1 + n2 :]
         order, bound = _split(shard.windows(firsts), wide)
         verdict = np.zeros(len(firsts), bool)
