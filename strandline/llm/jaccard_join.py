@@ -12,8 +12,12 @@ lose no link:
 3. Each region is joined exactly: two pivots (a set and the one farthest from it) split it into Voronoi cells, the sets
    whose distances to the pivots differ by at most twice the radius are replicated into the other cell's join, and the
    cells are joined recursively until they are small or all one component. Distances are exact intersections of sets.
-   A region of more than REGION sets is cut into blocks, each two of which are joined by a task of their own; only their
-   components, not their pairs, come back, and the components of these are the region's.
+4. A region of more than REGION sets is joined by Spark in the same way: PIVOTS of its sets (of lowest hash) go to its
+   blocks, every set learns its exact distances to them, and links to pivots give first components. The sets outside the
+   region's largest component are then replicated to the Voronoi cells whose window they are in, there to the bands of
+   distance from the cell's pivot that the triangle inequality leaves, and joined with those; a cell's band is cut into
+   blocks of REGION / 2 by its count. Sets of one component are not compared again, so that a large group of near copies
+   costs its distances to the pivots.
 
 Edge cases: null and empty texts and texts of white space have no shingles and are linked with nothing; a text of under
 five words is one shingle; a null identifier stays unlinked with a null component; rows that repeat an identifier or a
@@ -28,6 +32,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm import common
@@ -41,8 +46,10 @@ LANDMARKS, CROWDED = 64, 16
 SAMPLE, OFTEN, FREQUENT = 4000, 4, 200_000
 #: Classes in a shard.
 SHARD = 6000
-#: Sets of a region that one task joins; a larger region is cut into blocks of half as many, joined two by two.
+#: Sets of a region that one task joins; in a larger one a task holds two blocks of half as many.
 REGION = 1000
+#: Pivots of a larger region, and bands of distance from a pivot.
+PIVOTS, BANDS = 16, 20
 #: Sets up to which candidates or a region are compared pair by pair.
 FEW, SMALL = 48, 12
 _U = np.uint64
@@ -188,9 +195,12 @@ def _table(rows: list[tuple], names: str, kinds: list) -> pa.Table:
 
 
 def _by_range(values: np.ndarray, bits: int):
+    """(order by the top ``bits`` bits, (range, begin, stop) in it of each range that has values)."""
     top = (values >> _U(64 - bits)).astype(np.int64)
     order = np.argsort(top, kind="stable")
-    return order, np.searchsorted(top[order], np.arange((1 << bits) + 1))
+    top = top[order]
+    cut = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])) if len(top) else np.zeros(0, np.int64)
+    return order, list(zip(top[cut].tolist(), cut.tolist(), np.append(cut[1:], len(top)).tolist()))
 
 
 def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +217,7 @@ def keys_of(table: pa.Table, bits: int) -> pa.Table:
     order, bound = _by_range(own, bits)
     keys = (own[order] << _U(bits) >> _U(32)).astype(np.uint32)
     shard = table.column("shard")[0].as_py()
-    return _table([(r, shard, keys[a:b].tobytes()) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:])) if b > a], "range shard keys", [_I, _I, _B])
+    return _table([(r, shard, keys[a:b].tobytes()) for r, a, b in bound], "range shard keys", [_I, _I, _B])
 
 
 def shared_keys(table: pa.Table) -> pa.Table:
@@ -240,13 +250,12 @@ def members_of(table: pa.Table, told: pa.Table, bits: int) -> pa.Table:
     order, bound = _by_range(keys, bits)
     short = (keys << _U(bits) >> _U(32)).astype(np.uint32)
     rows = []
-    for r, (a, b) in enumerate(zip(bound[:-1], bound[1:])):
-        if b > a:
-            own = order[a:b]
-            at, place = np.unique(row[own], return_inverse=True)
-            held = [marks[i] for i in at.tolist()]
-            widths = np.array([len(m) for m in held], np.int32)
-            rows.append((r, short[own].tobytes(), place.astype(np.uint32).tobytes(), ids[at].tobytes(), sizes[at].tobytes(), b"".join(held), widths.tobytes()))
+    for r, a, b in bound:
+        own = order[a:b]
+        at, place = np.unique(row[own], return_inverse=True)
+        held = [marks[i] for i in at.tolist()]
+        widths = np.array([len(m) for m in held], np.int32)
+        rows.append((r, short[own].tobytes(), place.astype(np.uint32).tobytes(), ids[at].tobytes(), sizes[at].tobytes(), b"".join(held), widths.tobytes()))
     return _table(rows, " ".join(_MEMBERS), kinds)
 
 
@@ -417,6 +426,106 @@ def join_region(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids[order]), pa.array(ids[order][label])], names=["rep", "component"])
 
 
+def to_pivots(table: pa.Table, pivots: pa.Table) -> pa.Table:
+    """(rep, root, d, linked) of the sets of one block: distances to the region's pivots and a set it is in one component
+    with; the pivots' own rows have no distances."""
+    names, kinds = "rep root d linked", [_L, _L, _B, _L]
+    if not (table.num_rows and pivots.num_rows):
+        return _table([], names, kinds)
+    order = np.argsort(pivots.column("pivot").to_pylist())
+    own, root = np.array(table.column("rep").to_pylist(), np.int64), table.column("root")[0].as_py()
+    ids = np.concatenate([own, np.array(pivots.column("rep").to_pylist(), np.int64)[order]])
+    texts = pivots.column("text").to_pylist()
+    region = Region(shingles(table.column("text").to_pylist() + [texts[i] for i in order.tolist()]))
+    d = np.stack([region.compare(p, np.arange(len(own))) for p in range(len(own), len(ids))], 1).astype(np.float32)
+    linked = ids[region.label]
+    rows = [(i, root, x.tobytes(), y) for i, x, y in zip(own.tolist(), d, linked.tolist())]
+    rows += [(i, root, None, y) for i, y in zip(ids[len(own) :].tolist(), linked[len(own) :].tolist()) if i != y]
+    return _table(rows, names, kinds)
+
+
+def _cells(d: bytes) -> tuple[np.ndarray, int, int]:
+    far = np.frombuffer(d, np.float32)
+    cell = int(far.argmin())
+    return far, cell, int(far[cell] * BANDS)
+
+
+def placed(batches):
+    """(rep, root, label, cell, band): the Voronoi cell of each set and its band of distance there."""
+    for b in batches:
+        at = [_cells(d)[1:] for d in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([c for c, _ in at], _I), pa.array([x for _, x in at], _I)], names=["rep", "root", "label", "cell", "band"])
+
+
+def windowed(batches):
+    """(rep, root, label, cell, band): each set once for every cell and band where the triangle inequality allows a link."""
+    radius = 1 - LEAST / 100 + 1e-5
+    for b in batches:
+        rows = []
+        for rep, root, label, d in zip(*(b.column(i).to_pylist() for i in range(4))):
+            far, cell, _ = _cells(d)
+            for q in np.flatnonzero(far <= far[cell] + 2 * radius).tolist():
+                bands = range(max(0, int((far[q] - radius) * BANDS)), min(BANDS, int((far[q] + radius) * BANDS)) + 1)
+                rows += [(rep, root, label, q, x) for x in bands]
+        yield from _table(rows, "rep root label cell band", [_L, _L, _L, _I, _I]).combine_chunks().to_batches()
+
+
+def join_blocks(table: pa.Table, rest: pa.Table) -> pa.Table:
+    """(id, root): edges between the components of a block and those of the sets that visit it, for the links there are."""
+    if not (table.num_rows and rest.num_rows):
+        return _table([], "id root", [_L, _L])
+    col = lambda c: np.array(table.column(c).to_pylist() + rest.column(c).to_pylist(), np.int64)
+    ids, labels, n = col("rep"), col("label"), table.num_rows
+    region = Region(shingles(table.column("text").to_pylist() + rest.column("text").to_pylist()))
+    first, place = np.unique(labels, return_index=True, return_inverse=True)[1:]
+    region.label = start = first[place]
+    block = np.arange(n)
+    for p in range(n, len(ids)):
+        others = block[region.label[:n] != region.label[p]]
+        others = others[region.may_link(np.full(len(others), p), others)]
+        if len(others):
+            region.compare(p, others)
+    own = np.flatnonzero((start == np.arange(len(ids))) & (region.label != start))
+    return pa.table([pa.array(ids[own]), pa.array(ids[region.label[own]])], names=["id", "root"])
+
+
+def join_large(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(rep, component) of the sets of regions too large for one task. ``texts``: (rep, root, text), staged; ``sizes``:
+    (root, size)."""
+    half = REGION // 2
+    nth = F.row_number().over(W.partitionBy("root").orderBy(F.xxhash64(F.lit(4), "rep"), "rep"))
+    picked = texts.select("rep", "root").withColumn("pivot", nth).where(F.col("pivot") <= PIVOTS)
+    blocked = sizes.select("root", F.ceil(F.col("size") / half).cast("int").alias("blocks"))
+    dealt = texts.join(blocked, "root").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("blocks")).cast("int"))
+    pivots = common.staged(texts.join(picked.drop("root"), "rep").join(blocked, "root"), "pivots").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    measured = common.staged(
+        dealt.groupBy("root", "block").cogroup(pivots.groupBy("root", "block")).applyInArrow(to_pivots, "rep long, root long, d binary, linked long"), "measured"
+    )
+    found = components(measured.where("rep <> linked").select(F.col("rep").alias("id"), F.col("linked").alias("root")))
+    label = F.coalesce("label", "rep").alias("label")
+    labelled = measured.where("d is not null").join(found.select(F.col("id").alias("rep"), F.col("root").alias("label")), "rep", "left").select("rep", "root", label, "d")
+    labelled = common.staged(labelled, "labelled")
+    largest = labelled.groupBy("root", "label").count().groupBy("root").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    rest = labelled.join(largest, "root").where("label <> largest").drop("largest")
+
+    kinds = "rep long, root long, label long, cell int, band int"
+    key = ["root", "cell", "band"]
+    own, visits = labelled.mapInArrow(placed, kinds), common.staged(rest.mapInArrow(windowed, kinds), "visits")
+    counts = own.groupBy(*key).agg(F.ceil(F.count("*") / half).cast("int").alias("blocks"))
+    chunks = visits.groupBy(*key).agg(F.ceil(F.count("*") / half).cast("int").alias("chunks"))
+    both = common.staged(counts.join(chunks, key), "bands")
+    part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    body = texts.select("rep", "text")
+    left = own.join(both, key).withColumn("block", part(6, "blocks")).join(body, "rep").withColumn("chunk", each("chunks"))
+    right = visits.join(both, key).withColumn("chunk", part(7, "chunks")).join(body, "rep").withColumn("block", each("blocks"))
+    parts, columns = [*key, "block", "chunk"], [*key, "block", "chunk", "rep", "label", "text"]
+    renewed = right.select(*[F.col(c).alias(c) for c in columns])  # both sides stem from one table
+    met = left.select(*columns).groupBy(*parts).cogroup(renewed.groupBy(*parts)).applyInArrow(join_blocks, "id long, root long")
+    edges = labelled.where("rep <> label").select(F.col("rep").alias("id"), F.col("label").alias("root")).unionByName(met)
+    return components(edges).select(F.col("id").alias("rep"), F.col("root").alias("component")).where("rep <> component")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): connected components of (id, root) edges, by least identifiers that spread and jump until they stay."""
     both = common.staged(edges.unionByName(edges.select(F.col("root").alias("id"), F.col("id").alias("root"))).distinct(), "edges")
@@ -456,16 +565,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     regions = components(members.groupBy("range").applyInArrow(candidate_forest, "id long, root long"))
 
     sizes = common.staged(regions.groupBy("root").agg(F.count("*").alias("size")), "regions")
-    blocks = F.when(F.col("size") > REGION, F.ceil(F.col("size") / (REGION // 2))).otherwise(1).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(4), "id"), F.col("blocks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("own")) | (F.col("blocks") == 1))
-    placed = regions.join(sizes, "root").withColumn("blocks", blocks).withColumn("own", own)
-    placed = placed.select(F.col("id").alias("rep"), "root", "own", others.alias("others"))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(placed, "rep").dropDuplicates(["rep"])
-    met = texts.withColumn("other", F.explode("others")).select("rep", "text", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    joined = common.staged(met.groupBy("root", "x", "y").applyInArrow(join_region, "rep long, component long").where("rep <> component"), "components")
-    if sizes.where(F.col("size") > REGION).limit(1).count():
-        joined = components(joined.select(F.col("rep").alias("id"), F.col("component").alias("root"))).select(F.col("id").alias("rep"), F.col("root").alias("component"))
+    members = regions.join(sizes, "root").select(F.col("id").alias("rep"), "root", "size")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    small = texts.join(members.where(F.col("size") <= REGION), "rep").dropDuplicates(["rep"])
+    joined = common.staged(small.select("rep", "text", "root").groupBy("root").applyInArrow(join_region, "rep long, component long").where("rep <> component"), "components")
+    large = sizes.where(F.col("size") > REGION)
+    if large.limit(1).count():
+        own = texts.join(members.where(F.col("size") > REGION).drop("size"), "rep").dropDuplicates(["rep"])
+        joined = joined.unionByName(join_large(common.staged(own.select("rep", "root", "text"), "texts"), large))
     linked = classed.join(joined, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     rest = made.where("n = 0 or id is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked.unionByName(rest)

@@ -129,6 +129,7 @@ def sets_of(rows):
 def test_jaccard_join(spark, corpus, monkeypatch, shard, region):
     monkeypatch.setattr(jaccard_join, "SHARD", shard)
     monkeypatch.setattr(jaccard_join, "REGION", region)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
     sets = sets_of(corpus)
     root = {i: i for i in sets}
     for _ in sets:
