@@ -4,11 +4,12 @@ Documents are aggregated by membership pattern (the set of sources they belong t
 rows. On the driver a network routes each pattern's words to the quotas of its sources; a word's second and third pass
 cost more than its first (convex costs), so that nothing is repeated while fresh words can fill a quota. Each pattern
 then takes whole passes of all its documents, and the rest from seeded documents: a prefix of the documents in hash
-order, found by sums per hash bucket (no task sees more than a bucket of a source), then refills of what is left with
-documents that still fit.
+order, then refills of what is left with documents that still fit. A prefix is known by its cut, the last row in it,
+which sums per hash bucket locate; only the one bucket of each pattern that holds the cut is put in order. The cuts are
+a few values per pattern, so that a row's verdict is a narrow expression and no document is shuffled.
 
 Edge cases: null or empty text has size 0 and takes 0; a null source is a source of its own, last in order; sources of
-size 0 have target 0; rows that repeat an identifier are mixed each; an empty table gives an empty result; other columns
+size 0 have target 0; rows that repeat an identifier, or have none, are mixed each; an empty table gives an empty result; other columns
 are not read by ``mix``.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,8 @@ MAX_PASSES = 3
 BUCKETS = 4096
 #: Refills of what the seeded prefix left open.
 REFILLS = 8
+#: Beyond every hash and every row number.
+LAST = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -106,45 +109,23 @@ def flow(patterns: dict[tuple, int], quotas: dict) -> dict[tuple, float]:
     return {p: sum(cap[e ^ 1] for e in out[node_p[p]] if cost[e] == 0 and not e & 1 and to[e] > len(names)) for p in names}
 
 
-def _prefix(rows: DataFrame, size: str) -> DataFrame:
-    """``rows`` with ``upto``: the sum of ``size`` up to and with this row in its pattern's hash order."""
-    sums = rows.groupBy("pattern", "bucket").agg(F.sum(size).alias("b"))
-    before = W.partitionBy("pattern").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("b").over(before), F.lit(0))).drop("b")
-    inside = W.partitionBy("pattern", "bucket").orderBy("u", "row").rowsBetween(W.unboundedPreceding, 0)
-    return rows.join(sums, ["pattern", "bucket"]).withColumn("upto", F.col("before") + F.sum(size).over(inside)).drop("before")
+def _measures(seed: int, id_col: str, text_col: str, source_col: str, kind: T.DataType) -> dict:
+    """What the mix needs of a row, by name. ``u`` hashes the text too, so that rows without an identifier spread."""
+    many = isinstance(kind, T.ArrayType)
+    return {
+        "sources": F.coalesce(F.array_sort(F.array_distinct(F.col(source_col))), F.array().cast("array<string>")) if many else F.array(F.col(source_col)),
+        "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
+        "u": F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col))),
+    }
 
 
-def mix(docs: DataFrame, weights=None, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, size, source_size, target, taken (words, repeats counted); see ``_mixed``."""
-    return _mixed(docs, weights, seed, id_col, text_col, source_col).select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("passes") + F.col("extra").cast("int"))).alias("taken"),
-    )
-
-
-def _mixed(docs: DataFrame, weights=None, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
-    """Per row: id, row (``row_col``, if given), size, source_size, target, passes and extra, one more pass or none.
-
-    ``source_col`` holds a string, or an array of strings for overlapping sources: then source_size and target are sums
-    over the row's sources. ``weights``: source -> weight; by default 1, 2, 3 repeating in code-point order, null last.
-    """
-    spark = docs.sparkSession
-    many = isinstance(docs.schema[source_col].dataType, T.ArrayType)
-    pattern = F.array_sort(F.array_distinct(F.col(source_col))) if many else F.array(F.col(source_col))
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), pattern.alias("sources"), size.alias("size"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
-    rows = rows.withColumn("u", F.xxhash64(F.lit(seed), "id"))
-    rows = common.staged(rows.withColumn("bucket", F.pmod("u", F.lit(BUCKETS)).cast("int")), "mix")
-
+def _routed(rows: DataFrame, weights) -> list[dict]:
+    """Per membership pattern of ``rows``: its number, key, passes, room for more words, source_size and target."""
     found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns: sources are meant to be a small dimension")
     key = lambda p: [(s is None, s or "") for s in p]
-    patterns = {p: n for p, n in sorted(((tuple(r.sources or ()), r.size) for r in found), key=lambda x: key(x[0]))}
+    patterns = {p: n for p, n in sorted(((tuple(r.sources), r.size) for r in found), key=lambda x: key(x[0]))}
     sizes: dict = {}
     for p, n in patterns.items():
         for s in p:
@@ -153,42 +134,95 @@ def _mixed(docs: DataFrame, weights=None, seed: int = 9, id_col: str = "doc_id",
     weights = weights or {s: 1 + i % 3 for i, s in enumerate(ordered)}
     quota = targets(sizes, weights, sum(patterns.values()))
     given = flow(patterns, quota)
-
-    plan = []
+    out = []
     for p, n in patterns.items():
         passes = min(MAX_PASSES, int(given[p] // n)) if n else 0
-        plan.append((list(p), passes, int(round(given[p] - passes * n)) if passes < MAX_PASSES else 0, sum(sizes[s] for s in p), float(sum(quota[s] for s in p))))
-    kind = "sources array<string>, passes int, room long, source_size long, target double"
-    small = spark.createDataFrame([(i, *x) for i, x in enumerate(plan)], "pattern int, " + kind)
-    named = rows.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
-    # the plan has at most MAX_PATTERNS rows
-    same = F.transform("sources", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("")))
-    state = (
-        named.withColumn("k", same)
-        .join(F.broadcast(small.withColumn("k", same).drop("sources")), "k")
-        .drop("k", "sources")
-        .withColumn("extra", F.lit(False))
-    )
-    state = common.staged(state, "mix")
+        room = int(round(given[p] - passes * n)) if passes < MAX_PASSES else 0
+        out.append({"sources": list(p), "pattern": len(out), "passes": passes, "room": room, "source_size": sum(sizes[s] for s in p), "target": float(sum(quota[s] for s in p)), "cuts": []})
+    return out
+
+
+def _named(sources) -> Column:
+    """A pattern as a join key; null sources join too."""
+    return F.transform(sources, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("")))
+
+
+def _planned(rows: DataFrame, plan: list[dict]) -> DataFrame:
+    """``rows`` with their pattern's columns and ``extra``: whether some cut takes the row once more."""
+    fields = ["sources", "pattern", "passes", "room", "source_size", "target", "cuts"]
+    kind = "sources array<string>, pattern int, passes int, room long, source_size long, target double, cuts array<struct<room:long,bucket:int,u:long,row:long>>"
+    small = rows.sparkSession.createDataFrame([tuple(p[f] for f in fields) for p in plan], kind)
+    place = F.struct("bucket", "u", "row")
+    taken = F.exists("cuts", lambda c: (F.col("size") <= c.room) & (place <= F.struct(c.bucket, c.u, c.row)))
+    # at most MAX_PATTERNS rows of at most REFILLS cuts
+    both = rows.withColumns({"bucket": F.pmod("u", F.lit(BUCKETS)).cast("int"), "_k": _named(F.col("sources"))}).join(F.broadcast(small.withColumn("_k", _named(F.col("sources"))).drop("sources")), "_k")
+    return both.drop("_k").withColumn("extra", (F.col("size") > 0) & taken)
+
+
+def _refill(rows: DataFrame, plan: list[dict]) -> bool:
+    """One more cut for each pattern with room, over the rows that fit and are not taken yet; false when none is found.
+
+    A job sums by hash bucket, a second one orders the bucket in which the sum passes the room."""
+    fits = _planned(rows, plan).where(~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("room")))
+    sums = fits.groupBy("pattern", "bucket").agg(F.sum("size").alias("own"), F.first("room").alias("room"))
+    upto = F.sum("own").over(W.partitionBy("pattern").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
+    whole = F.col("upto") <= F.col("room")
+    found = sums.withColumn("upto", upto).groupBy("pattern").agg(F.max(F.when(whole, F.col("upto"))).alias("used"), F.max(F.when(whole, F.col("bucket"))).alias("last"), F.min(F.when(~whole, F.col("bucket"))).alias("bucket")).collect()
+    if not found:
+        return False
+    kind = "pattern int, bucket int, before long"
+    edges = rows.sparkSession.createDataFrame([(r.pattern, r.bucket, r.used or 0) for r in found if r.bucket is not None], kind)
+    inside = W.partitionBy("pattern").orderBy("u", "row").rowsBetween(W.unboundedPreceding, 0)
+    ordered = fits.join(F.broadcast(edges), ["pattern", "bucket"]).withColumn("upto", F.col("before") + F.sum("size").over(inside)).where("upto <= room")
+    inner = {r.pattern: r for r in ordered.groupBy("pattern").agg(F.max(F.struct("upto", "bucket", "u", "row")).alias("m")).select("pattern", "m.*").collect()}
+    cut = False
+    for r in found:
+        p, last = plan[r.pattern], inner.get(r.pattern)
+        if last is not None:
+            p["cuts"].append((p["room"], last.bucket, last.u, last.row))
+            p["room"] -= last.upto
+        elif r.last is not None:
+            p["cuts"].append((p["room"], r.last, LAST, LAST))
+            p["room"] -= r.used
+        else:
+            continue
+        cut = True
+    return cut
+
+
+def _mixed(rows: DataFrame, weights=None) -> DataFrame:
+    """``rows`` (a staged table with row, sources, size and u) with source_size, target and times, the passes over a row."""
+    needed = rows.select("row", "sources", "size", "u")
+    plan = _routed(needed, weights)
     for _ in range(REFILLS):
-        fits = ~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("room"))
-        summed = _prefix(state.withColumn("own", F.when(fits, F.col("size")).otherwise(0)), "own")
-        state = common.staged(summed.withColumn("extra", F.col("extra") | ((F.col("own") > 0) & (F.col("upto") <= F.col("room")))).withColumn("new", (F.col("own") > 0) & (F.col("upto") <= F.col("room"))).drop("own", "upto"), "mix")
-        used = {r.pattern: r.s for r in state.where("new").groupBy("pattern").agg(F.sum("size").alias("s")).collect()}
-        state = state.drop("new")
-        if not used:
+        if not _refill(needed, plan):
             break
-        less = spark.createDataFrame(list(used.items()), "pattern int, used long")
-        state = state.join(F.broadcast(less), "pattern", "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).drop("used")
-    return state
+    times = F.when(F.col("size") > 0, F.col("passes") + F.col("extra").cast("int")).otherwise(0)
+    return _planned(rows, plan).withColumn("times", times)
+
+
+def mix(docs: DataFrame, weights=None, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per row: id, size, source_size, target, taken (words, repeats counted).
+
+    ``source_col`` holds a string, or an array of strings for overlapping sources: then source_size and target are sums
+    over the row's sources. ``weights``: source -> weight; by default 1, 2, 3 repeating in code-point order, null last.
+    """
+    found = _measures(seed, id_col, text_col, source_col, docs.schema[source_col].dataType)
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in found.items()])
+    done = _mixed(common.staged(rows, "mix"), weights)
+    return done.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 9) -> DataFrame:
-    """The rows of the mix with all their columns, each as many times as the mix passes over it."""
-    keyed, key = common.keyed(docs, "documents")
-    passes = _mixed(keyed, seed=seed, row_col=key).select(F.col("row").alias(key), F.when(F.col("size") > 0, F.col("passes") + F.col("extra").cast("int")).alias(key + "n"))
-    taken = keyed.join(passes.where(F.col(key + "n") > 0), key)
-    return taken.withColumn(key + "n", F.explode(F.sequence(F.lit(1), F.col(key + "n")))).select(*docs.columns)
+    """The rows of the mix with all their columns, each as many times as the mix passes over it.
+
+    The documents are staged once with their measures, the cuts are found on the measures alone, and the last scan
+    deals rows out; no text is shuffled."""
+    found = _measures(seed, "doc_id", "text", "source", docs.schema["source"].dataType)
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("whole")
+    rows = docs.select(whole, F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in found.items()])
+    done = _mixed(common.staged(rows, "documents"), None).where("times > 0")
+    return done.select("whole", F.explode(F.sequence(F.lit(1), F.col("times")))).select("whole.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
