@@ -181,6 +181,21 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixed_documents_take_what_the_mix_says(spark):
+    rng = random.Random(16)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 50)), rng.choice(["a", "b", None]), i, "x", 2) for i in range(120)]
+    docs = spark.createDataFrame(rows, DOCS + ", row long, whole string, times int")
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    words = {i: len(t.split()) for i, t, *_ in rows}
+    out: dict = {}
+    for r in mixed.collect():
+        assert tuple(r) == rows[r.doc_id]
+        out[r.doc_id] = out.get(r.doc_id, 0) + words[r.doc_id]
+    assert out == {i: n for i, n in taken.items() if n}
+
+
 def test_targets_and_flow():
     assert mixing.targets({"a": 10, "b": 1000}, {"a": 1, "b": 1}) == {"a": 30.0, "b": 980.0}
     # a document of both sources fills whichever quota is short; repetition only where fresh words run out
