@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 RUNS = 64
 
 #: Memory blocks of this size or more go back to the system when they are freed.
-LARGE = 1 << 22
+LARGE = 1 << 20
 
 _shipped: set[str] = set()
 
