@@ -57,16 +57,30 @@ def named_files(spark: SparkSession, path: str, pattern: str, *groups: str) -> D
 
 
 def positional(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of one text file; numbered within the file, whose lines one split order keeps."""
-    rows = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    return rows.select((F.row_number().over(W.partitionBy(F.lit(1)).orderBy("_at")) - 1).alias("line"), "value")
+    """(line, value) of one text file, from 0: numbered inside each block of the file, blocks by where they start."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    blocks = rows.groupBy("_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a block
+    return rows.join(blocks.withColumn("_before", before), "_at").select((F.col("_before") + F.col("_id") - F.col("_first")).alias("line"), "value")
+
+
+def replay_plan(spark: SparkSession, path: str) -> DataFrame:
+    """(place, chunk_key, t_start, t_end, audio, media) of a plan in JSON lines; ``place`` keeps the order of the file, which
+    is the order of capture. An empty plan raises here; a row that lacks a required key, or is no JSON, when it is read."""
+    lines = positional(spark, path).where(F.length(F.trim("value")) > 0)
+    if lines.isEmpty():
+        raise ValueError(f"the plan {path} is empty")
+    needed = ("chunk_key", "t_start", "t_end", "audio")
+    rows = lines.select(F.col("line").alias("place"), F.from_json("value", "chunk_key string, t_start string, t_end string, audio string, media string", {"mode": "FAILFAST"}).alias("r"))
+    checked = [F.coalesce(F.col(f"r.{c}"), F.raise_error(F.lit(f"a row of the plan lacks {c}")).cast("string")).alias(c) for c in needed]
+    return rows.select("place", *checked, "r.media")
 
 
 def zipped(questions: DataFrame, gold: DataFrame) -> DataFrame:
     """Two positional sources side by side; a line without its partner raises."""
     both = questions.withColumnRenamed("value", "question").join(gold.withColumnRenamed("value", "gold"), "line", "full")
     ok = F.col("question").isNotNull() & F.col("gold").isNotNull()
-    return both.withColumn("line", F.when(ok, F.col("line")).otherwise(F.raise_error(F.lit("the files have different numbers of lines")).cast("int")))
+    return both.withColumn("line", F.when(ok, F.col("line")).otherwise(F.raise_error(F.lit("the files have different numbers of lines")).cast("bigint")))
 
 
 def anchored_blocks(rows: DataFrame, reserved: tuple[str, ...] = ("block_id", "text")) -> DataFrame:
