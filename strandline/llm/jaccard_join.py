@@ -506,7 +506,7 @@ def join_large(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     labelled = measured.where("d is not null").join(found.select(F.col("id").alias("rep"), F.col("root").alias("label")), "rep", "left").select("rep", "root", label, "d")
     labelled = common.staged(labelled, "labelled")
     largest = labelled.groupBy("root", "label").count().groupBy("root").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
-    rest = labelled.join(largest, "root").where("label <> largest").drop("largest")
+    rest = labelled.join(largest, "root").where("label <> largest").select(*labelled.columns)  # a join puts its key first
 
     kinds = "rep long, root long, label long, cell int, band int"
     key = ["root", "cell", "band"]
