@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strandline.llm import ann, bpe_codec, exact_dedup, jaccard_join, main_text, mixing, substring_dedup, token_counts, toxicity, warc
+from strandline.llm import ann, bpe_codec, exact_dedup, jaccard_join, main_text, mixing, packing, substring_dedup, token_counts, toxicity, warc
 
 #: Query name -> module of this subpackage that defines it; ``ORACLE_SQL`` there is its oracle, if any.
 MODULES = {
@@ -21,11 +21,12 @@ MODULES = {
     "op8_main_text": main_text,
     "op9_mixing": mixing,
     "op10_nearest": ann,
+    "op13_packing": packing,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The ten operators' queries and the pipeline's."""
+    """The operators' queries and the pipeline's."""
     return {name: getattr(MODULES[name], name) for name in MODULES} | {"pipeline": corpus_pipeline.run}
 
 
