@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strandline.llm import ann, bpe_codec, exact_dedup, jaccard_join, main_text, mixing, packing, substring_dedup, token_counts, toxicity, warc
+from strandline.llm import ann, bpe_codec, divergence, exact_dedup, hard_negatives, jaccard_join, main_text, mixing, packing, substring_dedup, token_counts, toxicity, warc
 
 #: Query name -> module of this subpackage that defines it; ``ORACLE_SQL`` there is its oracle, if any.
 MODULES = {
@@ -21,6 +21,8 @@ MODULES = {
     "op8_main_text": main_text,
     "op9_mixing": mixing,
     "op10_nearest": ann,
+    "op11_hard_negatives": hard_negatives,
+    "op12_divergence": divergence,
     "op13_packing": packing,
 }
 

@@ -88,4 +88,4 @@ def test_nearest_with_clashing_columns(spark):
 
 def test_registered():
     names = queries.queries()
-    assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"} and set(queries.oracle_sql()) <= set(names)
+    assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 14)), "pipeline"} and set(queries.oracle_sql()) <= set(names)
