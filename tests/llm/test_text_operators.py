@@ -258,3 +258,26 @@ def test_warc_of_the_wild(spark, tmp_path):
     torn = b"noise WARC/1.0\r\nbad line\r\nWARC-Type:response\r\n folded\r\n\r\nx\r\n\r\nWARC/1.0\r\nContent-Length: 9\r\n\r\nabc"
     assert list(warc.parse(torn)) == [({"WARC-Type": "response folded"}, b"x\r\n\r\n", "malformed header; no length"), ({"Content-Length": "9"}, b"abc", "torn block")]
     assert list(warc.parse(b"WARC/1.0\r\nWARC-Type: x")) == [({"WARC-Type": "x"}, b"", "torn header; no length")] and list(warc.parse(b"")) == []
+W = "word " * 30
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<form><nav>n</nav><article><p>{W}</p></article></form>", "{W}"),
+        ("<div class='content modal'><article><p>{W}</p></article></div>", "{W}"),
+        ("<nav><ul><li>Home<article><p>{W}</p></article><footer>f</footer>", "{W}"),
+        ("<aside>side<article><p>{W}</p></article>", "{W}"),
+        ("<article><p>{W}</p><section class='promotion'><p>Raised.</p></section><p id='notice'>note</p><p class='related'>rel</p><p>Press <button>OK</button> now</p></article>", "{W} Raised. note rel Press OK now"),
+        ("<article><p>{W}</p><aside>side<p>follows {W}</p></article>", "{W} side follows {W}"),
+        ("<article><div class='widget'><p>{W}</p></div><p>end</p></article>", "{W} end"),
+        ("<article><p>{W}</p><p class='ad'>Buy</p><div class='related'><a>x</a></div><button>Share</button><p>end</p></article>", "{W} end"),
+        ("<main><nav>n</nav><p>Lead.</p><article><p>{W}</p></article><article><p>tease</p></article></main>", "Lead. {W}"),
+        ("<main><p>{W}</p></main><aside><article>teaser</article></aside>", "{W}"),
+        ("<article><p>{W}</p></article><aside class='related'><article><p>{W} other</p></article></aside>", "{W}"),
+    ],
+)
+def test_articles_that_wrappers_and_names_do_not_lose(page, text):
+    found = main_text.slotted(page.replace("{W}", W))
+    kind = main_text.kind_of([z for z, _, _ in found])
+    assert " ".join(t for z, _, t in found if z == kind) == text.replace("{W}", W.strip())
