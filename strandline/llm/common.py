@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import io
 import os
 import tempfile
@@ -10,33 +9,15 @@ import uuid
 import zipfile
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Partial results of one key are merged from so many parts: bounds what any task sees of a hot key.
 RUNS = 64
 
-#: Memory blocks of this size or more go back to the system when they are freed.
-LARGE = 1 << 20
-
 _shipped: set[str] = set()
 
 
-def _lean() -> None:
-    """Keep this process small between tasks: an idle worker holds what it had freed beside the next stage's heap.
-
-    Sets glibc's M_MMAP_THRESHOLD (-3) and M_TRIM_THRESHOLD (-1), where there is a glibc, for numpy's and Arrow's blocks."""
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "mallopt"):
-        libc.mallopt(-3, LARGE)
-        libc.mallopt(-1, LARGE)
-        pa.set_memory_pool(pa.system_memory_pool())
-
-
-_lean()
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that their Python workers can import it."""
     app = spark.sparkContext.applicationId

@@ -20,8 +20,9 @@ lose no link:
    costs its distances to the pivots.
 
 Edge cases: null and empty texts and texts of white space have no shingles and are linked with nothing; a text of under
-five words is one shingle; a null identifier stays unlinked with a null component; rows that repeat an identifier or a
-text are one class; an empty table gives an empty result; other columns are not read. Shingles are 64-bit digests.
+five words is one shingle; a null identifier stays unlinked with a null component; rows that repeat a text are one class,
+and rows that repeat an identifier with different texts are linked each by their own text; an empty table gives an empty
+result; other columns are not read. Shingles are 64-bit digests.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,8 +48,11 @@ LANDMARKS, CROWDED = 64, 16
 SAMPLE, OFTEN, FREQUENT = 4000, 4, 200_000
 #: Classes in a shard.
 SHARD = 6000
-#: Sets of a region that one task joins; in a larger one a task holds two blocks of half as many.
-REGION = 1000
+#: Sets of a region that one task joins, and shingles they have in all; in a larger one a task holds two blocks of half as
+#: many. A set of more is alone with the block it meets.
+REGION, HELD = 1000, 2_000_000
+#: Bytes of texts whose shingles are made at once, about.
+SLICE = 4_000_000
 #: Pivots of a larger region, and bands of distance from a pivot.
 PIVOTS, BANDS = 16, 20
 #: Sets up to which candidates or a region are compared pair by pair.
@@ -147,13 +152,25 @@ def marks_of(s: np.ndarray, tier: int) -> np.ndarray:
     return counts.astype(np.uint8) if counts.max(initial=0) < 256 else np.zeros(0, np.uint8)
 
 
+def sliced(batches, column: int):
+    """Batches cut to about SLICE bytes of one column's texts; a longer text is alone. What a task holds follows bytes, not rows."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + SLICE, side="right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def features(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, prefix, marks) per document: set size, digest of the set, the shingles it is entered under, counts
-    by landmark."""
+    """(id, hash, n, digest, prefix, marks) per document: a hash of the text, set size, digest of the set, the shingles it is
+    entered under, counts by landmark."""
 
     def run(batches):
-        for batch in batches:
-            sets = shingles(batch.column(1).to_pylist())
+        for batch in sliced(batches, 2):
+            sets = shingles(batch.column(2).to_pylist())
             flat = np.concatenate(sets) if sets else np.zeros(0, _U)
             place = np.minimum(np.searchsorted(frequent, flat), max(0, len(frequent) - 1))
             often = frequent[place] == flat if len(frequent) else np.zeros(len(flat), bool)
@@ -166,11 +183,11 @@ def features(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str)
                 prefixes.append(ordered[: n - _least_overlap(n) + 1].tobytes() if n else b"")
                 marks.append(marks_of(s, tier_of(n)).tobytes())
                 at += n
-            columns = [batch.column(0), pa.array([len(s) for s in sets], _L), pa.array(digests, _B), pa.array(prefixes, _B), pa.array(marks, _B)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "prefix", "marks"])
+            columns = [*batch.columns[:2], pa.array([len(s) for s in sets], _L), pa.array(digests, _B), pa.array(prefixes, _B), pa.array(marks, _B)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "hash", "n", "digest", "prefix", "marks"])
 
-    schema = "id long, n long, digest binary, prefix binary, marks binary"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = "id long, hash long, n long, digest binary, prefix binary, marks binary"
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def frequent_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
@@ -179,7 +196,7 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray
     texts = docs.join(F.broadcast(picked), id_col).select(F.col(text_col).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 0):
             sets = shingles(batch.column(0).to_pylist())
             flat = np.concatenate(sets) if sets else np.zeros(0, _U)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["s"])
@@ -489,15 +506,19 @@ def join_blocks(table: pa.Table, rest: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids[own]), pa.array(ids[region.label[own]])], names=["id", "root"])
 
 
+def _blocks(count: Column, held: Column) -> Column:
+    """The blocks that so many sets with so many shingles in all make."""
+    return F.ceil(F.greatest(count * 2 / F.lit(REGION), held * 2 / F.lit(HELD))).cast("int")
+
+
 def join_large(texts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(rep, component) of the sets of regions too large for one task. ``texts``: (rep, root, text), staged; ``sizes``:
-    (root, size)."""
-    half = REGION // 2
+    """(rep, component) of the sets of regions too large for one task. ``texts``: (rep, root, n, text), staged; ``sizes``:
+    (root, size, held), the sets of a region and their shingles."""
     nth = F.row_number().over(W.partitionBy("root").orderBy(F.xxhash64(F.lit(4), "rep"), "rep"))
     picked = texts.select("rep", "root").withColumn("pivot", nth).where(F.col("pivot") <= PIVOTS)
-    blocked = sizes.select("root", F.ceil(F.col("size") / half).cast("int").alias("blocks"))
-    dealt = texts.join(blocked, "root").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("blocks")).cast("int"))
-    pivots = common.staged(texts.join(picked.drop("root"), "rep").join(blocked, "root"), "pivots").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = sizes.select("root", _blocks(F.col("size"), F.col("held")).alias("blocks"))
+    dealt = texts.drop("n").join(blocked, "root").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("blocks")).cast("int"))
+    pivots = common.staged(texts.drop("n").join(picked.drop("root"), "rep").join(blocked, "root"), "pivots").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     measured = common.staged(
         dealt.groupBy("root", "block").cogroup(pivots.groupBy("root", "block")).applyInArrow(to_pivots, "rep long, root long, d binary, linked long"), "measured"
     )
@@ -511,8 +532,9 @@ def join_large(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     kinds = "rep long, root long, label long, cell int, band int"
     key = ["root", "cell", "band"]
     own, visits = labelled.mapInArrow(placed, kinds), common.staged(rest.mapInArrow(windowed, kinds), "visits")
-    counts = own.groupBy(*key).agg(F.ceil(F.count("*") / half).cast("int").alias("blocks"))
-    chunks = visits.groupBy(*key).agg(F.ceil(F.count("*") / half).cast("int").alias("chunks"))
+    weight = texts.select("rep", "n")
+    counts = own.join(weight, "rep").groupBy(*key).agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    chunks = visits.join(weight, "rep").groupBy(*key).agg(_blocks(F.count("*"), F.sum("n")).alias("chunks"))
     both = common.staged(counts.join(chunks, key), "bands")
     part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -542,7 +564,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+    """Per row: doc_id, n_shingles, component_id. Rows are told apart by a key of their own; a set's text is found again by
+    its row's identifier and a hash of the text, so that rows of one identifier with different texts are sets of their own."""
     spark = docs.sparkSession
     common.ship(spark)
     frequent = frequent_shingles(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
@@ -550,30 +573,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     made = common.staged(made, "shingles")
     live = made.where("n > 0 and id is not null").withColumn("check", F.col("n")).withColumn("run", F.pmod(F.xxhash64("row"), F.lit(common.RUNS)).cast("int"))
     leaves = live.select("id", "row", "run", "digest", "check", F.lit(0).alias("length"))
-    classes = live.join(merged(leaves), ["digest", "check", "run"])
-    classed = common.staged(classes.select("id", "n", F.col("best.id").alias("rep")), "classes")
+    classes = live.join(merged(leaves), ["digest", "check", "run"]).withColumn("rep", F.col("best.row"))
+    classed = common.staged(classes.select("id", "hash", "row", "n", "rep", F.col("best.id").alias("least"), F.when(F.col("row") == F.col("rep"), F.col("prefix")).alias("prefix"), F.when(F.col("row") == F.col("rep"), F.col("marks")).alias("marks")), "classes")
 
-    reps = classes.where(F.col("row") == F.col("best.row")).select("id", "n", "prefix", "marks")
-    shards = max(1, -(-classed.select("rep").distinct().count() // SHARD))
+    sets = classed.where("row = rep")
+    shards = max(1, -(-sets.count() // SHARD))
     bits = max(4, (shards // 4).bit_length())
-    by_shard = common.staged(reps.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "reps").groupBy("shard")
+    sharded = sets.select(F.col("rep").alias("id"), "n", "prefix", "marks", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
+    by_shard = sharded.groupBy("shard")
     told = by_shard.applyInArrow(lambda t: keys_of(t, bits), "range int, shard int, keys binary")
     told = told.groupBy("range").applyInArrow(shared_keys, "shard int, range int, keys binary")
-    members = by_shard.cogroup(told.groupBy("shard")).applyInArrow(
+    renewed = sharded.select(*[F.col(c).alias(c) for c in sharded.columns])
+    members = renewed.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(
         lambda t, k: members_of(t, k, bits), "range int, keys binary, places binary, ids binary, sizes binary, marks binary, widths binary"
     )
-    regions = components(members.groupBy("range").applyInArrow(candidate_forest, "id long, root long"))
-
-    sizes = common.staged(regions.groupBy("root").agg(F.count("*").alias("size")), "regions")
-    members = regions.join(sizes, "root").select(F.col("id").alias("rep"), "root", "size")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    small = texts.join(members.where(F.col("size") <= REGION), "rep").dropDuplicates(["rep"])
-    joined = common.staged(small.select("rep", "text", "root").groupBy("root").applyInArrow(join_region, "rep long, component long").where("rep <> component"), "components")
-    large = sizes.where(F.col("size") > REGION)
+    regions = components(members.groupBy("range").applyInArrow(candidate_forest, "id long, root long")).select(F.col("id").alias("rep"), "root")
+
+    own = common.staged(regions.join(sets.select("rep", "n", "id", "hash"), "rep"), "members")
+    sizes = common.staged(own.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("held")), "regions")
+    big = (F.col("size") > REGION) | (F.col("held") > HELD)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    of = lambda which: texts.join(own.join(sizes.where(which).select("root"), "root"), ["id", "hash"]).dropDuplicates(["rep"])
+    joined = common.staged(of(~big).select("rep", "text", "root").groupBy("root").applyInArrow(join_region, "rep long, component long").where("rep <> component"), "components")
+    large = sizes.where(big)
     if large.limit(1).count():
-        own = texts.join(members.where(F.col("size") > REGION).drop("size"), "rep").dropDuplicates(["rep"])
-        joined = joined.unionByName(join_large(common.staged(own.select("rep", "root", "text"), "texts"), large))
-    linked = classed.join(joined, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        joined = common.staged(joined.unionByName(join_large(common.staged(of(big).select("rep", "root", "n", "text"), "texts"), large)), "components")
+    # a component's name is the least identifier of its rows, which is one of its classes' least ones
+    named = joined.unionByName(joined.select(F.col("component").alias("rep"), "component")).distinct()
+    least = named.join(sets.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("name"))
+    named = named.join(least, "component").select("rep", "name")
+    linked = classed.join(named, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "least").alias("component_id"))
     rest = made.where("n = 0 or id is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked.unionByName(rest)
 

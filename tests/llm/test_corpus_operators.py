@@ -281,3 +281,33 @@ def test_pipeline_keeps_columns_and_matches_its_stages(spark):
         assert docs.select("doc_id").exceptAll(before.select("doc_id").distinct()).select("doc_id").subtract(before.select("doc_id")).count() == 0
     out = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert out.count() == docs.count() and out.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_jaccard_repeated_identifiers_with_other_texts(spark):
+    """Rows of one identifier with different texts are linked each by its own text."""
+    words = lambda a, n=30: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, words("a"), "s"), (1, words("b"), "s"), (3, words("b") + " z", "s"), (4, words("a") + " y", "s"), (5, words("c"), "s"), (4, words("c") + " x", "s"), (9, words("d"), "s")]
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == sorted([(1, 26, 1), (1, 26, 1), (3, 27, 1), (4, 27, 1), (5, 26, 4), (4, 27, 4), (9, 26, 9)])
+
+
+def test_jaccard_regions_by_weight(spark, monkeypatch):
+    """A region of few sets with many shingles is cut into blocks too, with the same links."""
+    monkeypatch.setattr(jaccard_join, "HELD", 600)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(24):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words), "s"))
+    rows += [(100 + i, " ".join(f"y{i}.{k}" for k in range(50)), "s") for i in range(6)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, _ in rows}
+    label = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = label[a], label[b]
+            label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == label
