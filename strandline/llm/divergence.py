@@ -39,6 +39,8 @@ LEAST, SCALE, TOP = 10, 1_000_000_000, 10
 SLICE, HELD = 4_000_000, 400_000
 #: Rows of a shard, about.
 SHARD = 150_000
+#: Keys that a language is dealt to where its sources' shares meet all its other sources.
+SALTS = 32
 #: Memory of DuckDB in a task; it keeps nothing on disk.
 MEMORY = "400MB"
 #: Letters and all beyond ASCII, A-Z lowered; any other byte parts terms.
@@ -188,7 +190,10 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col: st
 
     none = sized.join(other, "lang").where("source <> item").select("lang", "source", "item", (F.col("v") * apart("z", "y")).alias("value"))
     shares = found.where("part = 'share'").groupBy("lang", "source", "p").agg(F.sum("value").alias("many"))
-    alone = shares.join(sized.select("lang", "source", "z"), ["lang", "source"]).join(other, "lang").where("source <> item")
+    # a language with a third of all rows is SALTS keys
+    salted = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = shares.join(sized.select("lang", "source", "z"), ["lang", "source"]).withColumn("salt", F.pmod(F.xxhash64("source", "p"), F.lit(SALTS)).cast("int"))
+    alone = alone.join(salted, ["lang", "salt"]).where("source <> item")
     alone = alone.groupBy("lang", "source", "item").agg(F.sum(F.col("many") * (apart("p", "y") - apart("z", "y"))).alias("value"))
     both = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     turned = lambda df: df.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
