@@ -68,12 +68,16 @@ def tokens(x: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 0) & ~w.isin(*ARTICLES))
 
 
+def _numbered(words: Column) -> Column:
+    """The words, each with its number among equal ones: a multiset as a set."""
+    held = F.array_sort(words)
+    return F.transform(held, lambda w, i: F.concat_ws("\0", w, (i - F.array_position(held, w)).cast("string")))
+
+
 def token_f1(guess: Column, gold: Column) -> Column:
-    """Multiset token F1 of two token arrays: 1 if both are empty, 0 if one is."""
-    count = lambda a, w: F.size(F.filter(a, lambda v: v == w))
-    both = F.aggregate(F.array_distinct(guess), F.lit(0), lambda n, w: n + F.least(count(guess, w), count(gold, w)))
-    total = F.size(guess) + F.size(gold)
-    return F.when(total == 0, 1.0).when(both == 0, 0.0).otherwise(2.0 * both / total)
+    """Multiset token F1 of two token arrays: 0 if one is empty, or both."""
+    both = F.size(F.array_intersect(_numbered(guess), _numbered(gold)))
+    return F.when(both > 0, 2.0 * both / (F.size(guess) + F.size(gold))).otherwise(0.0)
 
 
 def contains_gold(guess: Column, gold: Column) -> Column:

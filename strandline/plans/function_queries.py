@@ -294,7 +294,7 @@ QUERIES = {
     "emails_found": (emails_found, "select doc_id, cast(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) as integer) as n from documents where len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) > 0"),
     "token_scores": (token_scores, f"""with c as (select conv_id, turn, role, text from conversations), x as (select a.conv_id, a.turn, {_tok('a.text')} as guess, {_tok('q.text')} as gold from c a join c q on a.conv_id = q.conv_id and a.turn = q.turn + 1 where a.role = 'assistant' and q.role = 'user'),
         y as (select *, coalesce(list_sum(list_transform(list_distinct(guess), lambda w: least(len(list_filter(guess, lambda v: v = w)), len(list_filter(gold, lambda v: v = w))))), 0) as b from x)
-        select conv_id, turn, len(gold)::integer as n_gold, len(guess)::integer as n_guess, case when len(gold) + len(guess) = 0 then 1.0::double when b = 0 then 0.0::double else 2.0::double * b / (len(gold) + len(guess)) end as f1,
+        select conv_id, turn, len(gold)::integer as n_gold, len(guess)::integer as n_guess, case when b = 0 then 0.0::double else 2.0::double * b / (len(gold) + len(guess)) end as f1,
         case when contains(array_to_string(guess, ' '), array_to_string(gold, ' ')) then 1.0::double else 0.0::double end as held from y"""),
     "trap_markers": (trap_markers, "select doc_id, contains(lower(text), 'license') or contains(lower(text), 'password') or contains(lower(text), 'idiot') as trap from documents"),
     "order_scores": (order_scores, """with x as (select doc_id, list_filter([instr(lower(text), 'the'), instr(lower(text), 'with'), instr(lower(text), 'that'), instr(lower(text), 'from')], lambda p: p > 0) as p from documents),

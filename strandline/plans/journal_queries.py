@@ -83,8 +83,12 @@ def corpus_ledger(spark, d):
 
 
 def ledger_before(spark, d):
-    entries = table(spark, d, "documents").select(F.col("lang").alias("user_id"), F.format_string("w%06d", "doc_id").alias("window_id"), F.lit("r1").alias("recipe"), "n_chars")
-    b = journal.ledger_bodies(entries, "user_id", "window_id", "recipe", "w000500")
+    docs = table(spark, d, "documents")
+    named = lambda n: F.format_string("w%012d", n)
+    before = docs.agg(named(F.floor(F.max("doc_id") * 3 / 5)).alias("w")).first().w
+    user = F.concat_ws(":", F.col("lang"), F.floor(F.col("doc_id") / 100).cast("string"))  # a user's nights: a hundred at most
+    entries = docs.select(user.alias("user_id"), named("doc_id").alias("window_id"), F.lit("r1").alias("recipe"), "n_chars")
+    b = journal.ledger_bodies(entries, "user_id", "window_id", "recipe", before)
     return b.select("user_id", "head.contract", "head.before_window", F.size("entries").alias("n"), F.array_join(F.transform("entries", lambda x: F.concat_ws(":", x.window_id, x.n_chars.cast("string"))), ",").alias("entries"))
 
 
@@ -215,7 +219,7 @@ QUERIES = {
         union all select user_id, window_id, name, case when passed then 'active' else 'gate_failed' end, 1 from s where not passed or not same"""),
     "corpus_ledger": (corpus_ledger, f"""with t as (select lang as user_id, doc_id as window_id, {_CORR} || ' x.' || chr(10) || chr(10) || text || case when doc_id % 2 = 0 then chr(10) || chr(10) || {_CORR} else '' end as t from documents where text is not null)
         select user_id, window_id, cast(length(t) as integer) as chars, sha256(t) as sha, cast(len(list_filter(string_split(t, chr(10) || chr(10)), lambda p: starts_with(p, {_CORR}))) as integer) as neg_paragraphs from t"""),
-    "ledger_before": (ledger_before, """select lang as user_id, 'C14' as contract, 'w000500' as before_window, cast(count(*) as integer) as n, string_agg(concat_ws(':', 'w' || lpad(cast(doc_id as varchar), 6, '0'), n_chars), ',' order by doc_id) as entries from documents where doc_id < 500 group by 1"""),
+    "ledger_before": (ledger_before, """with t as (select max(doc_id) * 3 // 5 as top from documents) select concat_ws(':', lang, doc_id // 100) as user_id, 'C14' as contract, 'w' || lpad(cast(any_value(top) as varchar), 12, '0') as before_window, cast(count(*) as integer) as n, string_agg(concat_ws(':', 'w' || lpad(cast(doc_id as varchar), 12, '0'), n_chars), ',' order by doc_id) as entries from documents, t where doc_id < top group by 1"""),
     "fresh_stages": (fresh_stages, "with m as (select s_suppkey % 20 as s, arg_max(s_suppkey % 3, s_suppkey) as k, arg_max(s_suppkey % 7, s_suppkey) as f from supplier group by 1) select 's' || s as stage, k = 1 and f < 5 as fresh from m"),
     "created_streams": (created_streams, E + "select user_id, event_type, 'c' || arg_min(k, event_id) % 3 as codec, sha256(user_id || chr(0) || event_type) as stream_id from e group by 1, 2"),
     "blob_reads": (blob_reads, "with a as (select distinct l_partkey * 2 as ref from lineitem) select ref, cast(strlen(p_name) as integer) as n from a left join part on p_partkey = ref and p_size % 3 <> 0"),

@@ -10,9 +10,9 @@ from strandline.sources.tables import table
 
 def _nights(spark, d):
     docs = table(spark, d, "documents").where("lang is not null")
-    w = docs.select(F.col("lang").alias("user_id"), F.format_string("w%06d", "doc_id").alias("window_id"), "doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    w = docs.select(F.col("lang").alias("user_id"), F.format_string("w%012d", "doc_id").alias("window_id"), "doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     windows = w.select("user_id", "window_id", F.when(F.col("doc_id") % 5 == 0, "open").otherwise("consolidated").alias("state"), F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("published").alias("outcome"))
-    tonight = w.groupBy("user_id").agg(F.lit("w000600").alias("before"), F.lit(20000).alias("target"))
+    tonight = w.groupBy("user_id").agg(F.format_string("w%012d", F.floor(F.max("doc_id") * 3 / 5)).alias("before"), F.lit(20000).alias("target"))
     return w.withColumn("part", F.lit(0)), windows, tonight
 
 
@@ -37,7 +37,7 @@ def rehearsals(spark, d):
     return got.select("user_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
-_PRIOR = "with h as (select lang as user_id, doc_id, 'w' || lpad(cast(doc_id as varchar), 6, '0') as window_id, text from documents where lang is not null), h2 as (select * from h where doc_id % 5 <> 0 and doc_id % 3 <> 0 and window_id < 'w000600')"
+_PRIOR = "with h as (select lang as user_id, doc_id, 'w' || lpad(cast(doc_id as varchar), 12, '0') as window_id, text from documents where lang is not null), h2 as (select * from h where doc_id % 5 <> 0 and doc_id % 3 <> 0 and doc_id < (select max(doc_id) * 3 // 5 from h g where g.user_id = h.user_id))"
 
 QUERIES = {
     "prior_windows": (prior_windows, _PRIOR + " select user_id, window_id from h2"),

@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strandline.streaming.store import Store, Table
+
 #: Attempts to fill a record's holes.
 HEAL_BUDGET = 3
 
@@ -123,30 +125,28 @@ def first_deliveries(deliveries: DataFrame, delay: str = "1 hour") -> DataFrame:
     return deliveries.withWatermark("at", delay).dropDuplicatesWithinWatermark(["chunk_id"])
 
 
+def _rows_of(spark, store: str, key: str, schema: T.StructType, every: int) -> Store:
+    return Store(spark, store, {"rows": Table(schema.simpleString()[len("struct<") : -1].replace(":", " "), (key,))}, every)
+
+
 def upserted(spark, store: str, key: str) -> DataFrame:
     """The rows of a store that ``upsert_batch`` writes: of each key the one of the latest batch."""
-    newest = W.partitionBy(key).orderBy(F.desc("batch"))
-    return spark.read.parquet(store).withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+    schema = T.StructType([f for f in spark.read.parquet(f"{store}/rows").schema if f.name != "batch"])
+    return _rows_of(spark, store, key, schema, 1).read("rows")
 
 
-def upsert_batch(store: str, key: str, body: str, at: str):
+def upsert_batch(store: str, key: str, body: str, at: str, every: int = 16):
     """A foreachBatch function: folds the batch into the Parquet store at ``store``. A batch writes one folder, of the keys
     whose newest body differs from what earlier batches hold, so that equal bodies keep their stamp and a batch that is run
-    again overwrites its own folder with the same rows. ``upserted`` reads the store."""
+    again overwrites its own folder with the same rows; what earlier batches hold is a snapshot and fewer than ``every``
+    batches after it. ``upserted`` reads the store."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        held = _rows_of(batch.sparkSession, store, key, batch.select(key, body, at).schema, every)
         last = batch.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(F.desc(at)))).where("_rn = 1").select(key, body, at)
-        try:
-            spark.read.parquet(store)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        else:
-            earlier = spark.read.parquet(store).where(F.col("batch") < number)
-            newest = earlier.groupBy(key).agg(F.max_by(F.struct(F.col(body)), "batch").alias("_was"))
-            both = last.join(newest, key, "left")
-            last = both.where(F.col("_was").isNull() | ~F.col(body).eqNullSafe(F.col(f"_was.{body}"))).drop("_was")
-        last.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        old = held.read("rows", number).select(key, F.col(body).alias("_was"), F.lit(True).alias("_held"))
+        both = last.join(old, key, "left")
+        held.write("rows", both.where(F.col("_held").isNull() | ~F.col(body).eqNullSafe(F.col("_was"))), number)
+        held.commit(number)
 
     return write

@@ -160,11 +160,11 @@ def test_upserts_fold_batches_into_a_store(spark, tmp_path):
     from strandline.streaming import claims
 
     store = str(tmp_path / "store")
-    write = claims.upsert_batch(store, "k", "body", "at")
+    write = claims.upsert_batch(store, "k", "body", "at", every=2)
     kinds = "k int, body string, at int"
     write(spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "x", 1)], kinds), 0)
     for _ in range(2):  # a batch that is run again changes nothing
         write(spark.createDataFrame([(1, "b", 3), (2, "y", 3), (3, None, 3)], kinds), 1)
     write(spark.createDataFrame([(2, "y", 4), (3, None, 4)], kinds), 2)
     assert sorted(map(tuple, claims.upserted(spark, store, "k").select("k", "body", "at").collect())) == [(1, "b", 2), (2, "y", 3), (3, None, 3)]
-    assert spark.read.parquet(store).count() == 4
+    assert spark.read.parquet(f"{store}/rows").count() == 4
