@@ -6,7 +6,7 @@ distance to their centres, and visits leaves from the queue. How many it visits
 queries the true neighbours are found by brute force over all rows (the stated queries against all rows, in blocks), and
 visits widen until TARGET of them are found, and for each query until its leaves hold more than k vectors. Queries and vectors meet by (bin, block): neighbouring leaves share a bin of about
 BLOCK vectors, and a leaf of more is cut into blocks by its counted size, so that a leaf with a third of all rows is many
-tasks' work; per block only a query's best k among the leaves it visits go on.
+tasks' work, and queries by parts of about ASKED; per block only a query's best k among the leaves it visits go on.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold null or non-finite components take
 no part, as queries or candidates; equal distances are ordered by the smaller identifier; rows that repeat an identifier
@@ -30,10 +30,10 @@ from strandline.llm import common
 SAMPLE = 20_000
 #: Children of a node, and the sampled vectors from which a node is not split further.
 FANOUT, LEAF = 64, 48
-#: Vectors of a leaf that meet queries in one task, and queries that meet them at once.
-BLOCK = 4096
+#: Vectors of a leaf that meet queries in one task, and queries that meet them there, about.
+BLOCK, ASKED = 4096, 4096
 #: Queries calibrated on, and the recall they must reach.
-CALIBRATION, TARGET = 200, 0.94
+CALIBRATION, TARGET = 200, 0.96
 
 
 def fit_tree(sample: np.ndarray, seed: int = 10) -> list[tuple[np.ndarray, list[int]]]:
@@ -198,12 +198,15 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     sizes = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}
     bins, blocks = packed(sizes, n_leaves(tree))
     counted = np.array([sizes.get(leaf, 0) for leaf in range(n_leaves(tree))], np.int64)
+    parts = max(1, -(-asked.count() // ASKED))  # queries are dealt to parts, so that no block meets more at once
 
     def deal(batches):
         for b in batches:
             leaf = b["leaf"].to_numpy(np.int64)
             own = pd.util.hash_array(b["vec_id"].to_numpy(np.int64)) % blocks[bins[leaf]].astype(np.uint64)
-            yield b.assign(bin=bins[leaf], block=own.astype(np.int64))
+            each = b.assign(bin=bins[leaf], block=own.astype(np.int64))
+            for part in range(parts):
+                yield each.assign(part=part)
 
     def visit(batches):
         for b in batches:
@@ -212,15 +215,17 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
                 seen = np.array(best_bins(tree, np.asarray(v, np.float64), visits, counted, k + 1), np.int64)
                 at = bins[seen]
                 rows += [(i, v, x, y, seen[at == x]) for x in np.unique(at) for y in range(blocks[x])]
-            yield pd.DataFrame(rows, columns=["vec_id", "v", "bin", "block", "leaves"])
+            met = pd.DataFrame(rows, columns=["vec_id", "v", "bin", "block", "leaves"])
+            part = pd.util.hash_array(met["vec_id"].to_numpy(np.int64)) % np.uint64(parts)
+            yield met.assign(part=part.astype(np.int64))[["vec_id", "v", "bin", "block", "part", "leaves"]]
 
     def meet(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         q, v = _matrix(queries["v"]), _matrix(vectors["v"])
         leaf, seen = vectors["leaf"].to_numpy(np.int64), queries["leaves"].tolist()
         return _best(queries["vec_id"].to_numpy(np.int64), q, vectors["vec_id"].to_numpy(np.int64), v, k, lambda i: np.isin(leaf, seen[i]))
 
-    dealt = placed.mapInPandas(deal, "vec_id long, v array<double>, leaf long, bin long, block long").groupBy("bin", "block")
-    visiting = asked.mapInPandas(visit, "vec_id long, v array<double>, bin long, block long, leaves array<long>").groupBy("bin", "block")
+    dealt = placed.mapInPandas(deal, "vec_id long, v array<double>, leaf long, bin long, block long, part long").groupBy("bin", "block", "part")
+    visiting = asked.mapInPandas(visit, "vec_id long, v array<double>, bin long, block long, part long, leaves array<long>").groupBy("bin", "block", "part")
     found = dealt.cogroup(visiting).applyInPandas(meet, _FOUND)
     return _top(found, k).select("query_id", "rank", "vec_id", "score")
 
@@ -229,7 +234,8 @@ def _calibrated(placed: DataFrame, tree, q_ids: np.ndarray, q: np.ndarray, k: in
     """The least number of visited leaves with which ``target`` of the trial queries' true neighbours are found."""
     if not tree:
         return 1
-    truth = _top(_brute(placed.select("vec_id", "v"), q_ids, q, k), k).join(placed.select("vec_id", "leaf").distinct(), "vec_id").select("query_id", "leaf").collect()
+    true = F.broadcast(_top(_brute(placed.select("vec_id", "v"), q_ids, q, k), k).select("query_id", "vec_id"))  # CALIBRATION times k rows
+    truth = placed.select("vec_id", "leaf").join(true, "vec_id").distinct().select("query_id", "leaf").collect()
     by: dict[int, list[int]] = {}
     for r in truth:
         by.setdefault(r.query_id, []).append(r.leaf)

@@ -311,3 +311,22 @@ def test_jaccard_regions_by_weight(spark, monkeypatch):
             label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == label
+
+
+def test_nearest_by_brute_force_and_in_parts(spark, monkeypatch):
+    """Scores are the distances, recall reaches its target by an independent brute force, parts of queries change nothing."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    one = sorted(map(tuple, ann.nearest(table, k=5, every=10).collect()))
+    monkeypatch.setattr(ann, "ASKED", 7)
+    assert sorted(map(tuple, ann.nearest(table, k=5, every=10).collect())) == one
+    hits = 0
+    for q in range(0, 600, 10):
+        d = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1))
+        d[q] = np.inf
+        true = sorted(range(600), key=lambda j: (d[j], j))[:5]
+        own = [(r, j, s) for i, r, j, s in one if i == q]
+        assert [r for r, _, _ in own] == [1, 2, 3, 4, 5] and all(abs(s - d[j]) < 1e-9 for _, j, s in own)
+        hits += len({j for _, j, _ in own} & set(true))
+    assert hits >= 0.9 * 300
