@@ -137,8 +137,12 @@ def response_record(key: str, url: str | None, page: str | None) -> tuple[dict,
     return head | ({"WARC-Target-URI": url} if url is not None else {}), block
 
 
+#: Types of payloads that have a text; of others there is metadata only.
+_TEXTUAL = re.compile(r"text/|application/(?:[\w.-]+\+)?(?:xml|json)\b|application/(?:xhtml|javascript|ld)", re.I)
+
+
 def derivatives(headers: dict, block: bytes | None) -> list[tuple[dict, bytes]]:
-    """The metadata and conversion records of a response; none for other types."""
+    """The metadata and conversion records of a response, metadata alone where its payload is no text; none for other types."""
     named = {k.lower(): v for k, v in headers.items()}
     if (named.get("warc-type") or "").lower() != "response":
         return []
@@ -154,15 +158,17 @@ def derivatives(headers: dict, block: bytes | None) -> list[tuple[dict, bytes]]:
     source, payload = named.get("warc-record-id") or "", named.get("warc-payload-digest") or digest(payload_bytes)
     shared = {k: named[k.lower()] for k in ("WARC-Target-URI", "WARC-Date") if named.get(k.lower()) is not None}
     shared |= {"WARC-Refers-To": source, "WARC-Payload-Digest": payload}
-    links = [html_lib.unescape(a or b or c).strip() for a, b, c in _LINK.findall(page)]
-    text = plain_text(page)
+    textual = bool(_TEXTUAL.match(kind.strip()))
+    links = [html_lib.unescape(a or b or c).strip() for a, b, c in _LINK.findall(page)] if textual else []
+    text = plain_text(page) if textual else ""
     facts = [("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in fields), ("source-block-digest", named.get("warc-block-digest") or digest(block))]
     facts += [("source-length", str(len(body))), ("text-length", str(len(text))), *(("source-error", x) for x in faults), *(("outlink", " ".join(x.split())) for x in links)]
+    facts += [] if textual else [("source-error", "the payload is no text")]
     made = []
     for form, mime, out in (
         ("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts).encode("utf-8", "surrogatepass")),
         ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "surrogatepass")),
-    ):
+    )[: 2 if textual else 1]:
         own = {"WARC-Type": form, "WARC-Record-ID": record_id(form, source), "Content-Type": mime, "Content-Length": str(len(out)), "WARC-Block-Digest": digest(out)}
         made.append((own | shared, out))
     return made

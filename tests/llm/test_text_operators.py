@@ -281,3 +281,16 @@ def test_articles_that_wrappers_and_names_do_not_lose(page, text):
     found = main_text.slotted(page.replace("{W}", W))
     kind = main_text.kind_of([z for z, _, _ in found])
     assert " ".join(t for z, _, t in found if z == kind) == text.replace("{W}", W.strip())
+
+
+def test_warc_payloads_that_are_no_text():
+    from strandline.llm import warc
+
+    def made(kind, body):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\n\r\n".encode() + body
+        return warc.derivatives({"WARC-Type": "response", "WARC-Record-ID": "<urn:x>"}, block)
+
+    image = made("image/png", b"\x89PNG\r\n\x00\xff")
+    assert [h["WARC-Type"] for h, _ in image] == ["metadata"] and b"the payload is no text" in image[0][1] and b"source-length: 8" in image[0][1]
+    for kind in ("text/html", "application/xhtml+xml; charset=utf-8", "application/json", "image/svg+xml"):
+        assert len(made(kind, b"<p>word</p>")) == (1 if kind.startswith("image") else 2)
