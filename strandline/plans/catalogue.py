@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Modules that define ``QUERIES: dict[str, tuple[callable, str | None]]``.
 MODULES = [
     f"strandline.plans.{name}_queries"
-    for name in ("daylog", "record", "function", "composite", "lifecycle", "window", "evaluation", "journal", "rehearsal", "ingest", "algebra", "artifact")
+    for name in ("daylog", "record", "function", "composite", "lifecycle", "window", "evaluation", "journal", "rehearsal", "ingest", "algebra", "artifact", "metric")
 ]
 
 Query = Callable[[SparkSession, str], DataFrame]
