@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions import repair, text
-from strandline.operators import folds, ledgers, stagegraph
+from strandline.operators import folds, ledgers, running, stagegraph
 from strandline.plans.record_queries import E, _events
 from strandline.sources import files
 from strandline.sources.tables import shared_folder, stream, table
@@ -105,7 +105,8 @@ def repaired_replies(spark, d):
 def replay_sample(spark, d):
     pool = table(spark, d, "documents").select("doc_id", "source", F.posexplode(text.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("n", "p"))
     pool = pool.withColumns({"size": F.length("p"), "u": F.md5(F.concat_ws(":", F.lit("11"), F.col("doc_id").cast("string"), F.col("n").cast("string")))})
-    return ledgers.take_budget(pool, "source", "size", 3000, "u", "doc_id", "n").select("source", "doc_id", "n", "used_before")
+    got = running.before(pool, "source", running.by_digits(F.col("u")), ["u", "doc_id", "n"], F.col("size"), F.lit(3000))
+    return got.select("source", "doc_id", "n", "used_before")
 
 
 def suite_assembly(spark, d):
@@ -119,8 +120,8 @@ def suite_assembly(spark, d):
 
 
 def seeded_order(spark, d):
-    order = W.partitionBy("lang").orderBy(F.md5(F.concat_ws("|", F.lit("3"), F.col("doc_id").cast("string"))), "doc_id")
-    return table(spark, d, "documents").select("lang", "doc_id", F.row_number().over(order).alias("place"))
+    docs = table(spark, d, "documents").select("lang", "doc_id", F.md5(F.concat_ws("|", F.lit("3"), F.col("doc_id").cast("string"))).alias("u"))
+    return running.ranked(docs, "lang", running.by_digits(F.col("u")), ["u", "doc_id"], "place").select("lang", "doc_id", "place")
 
 
 def metric_lines(spark, d):

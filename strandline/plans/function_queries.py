@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions import checks, stats, text, timeaxis
+from strandline.operators import running
 from strandline.plans.record_queries import E, _events
 from strandline.sources.tables import table
 
@@ -240,7 +241,8 @@ def status_maps(spark, d):
 
 def recency(spark, d):
     last = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"))
-    return last.select("o_custkey", F.row_number().over(W.partitionBy(F.col("o_custkey") % 16).orderBy(F.desc("last"))).alias("rank"))
+    last = last.withColumn("lane", F.col("o_custkey") % 16)
+    return running.ranked(last, "lane", running.by_range(last, "last", falling=True), [F.desc("last")]).select("o_custkey", "rank")
 
 
 def rate_over_range(spark, d):
@@ -272,15 +274,14 @@ def amplify_plan(spark, d):
 
 
 def hash_sample(spark, d):
-    docs = _docs(spark, d)
-    order = W.partitionBy("source").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id")
-    before = F.coalesce(F.sum("n_chars").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return docs.withColumn("b", before).where("b < 15000").select("source", "doc_id")
+    docs = _docs(spark, d).select("source", "doc_id", "n_chars", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).alias("u"))
+    return running.before(docs, "source", running.by_digits(F.col("u")), ["u", "doc_id"], F.col("n_chars"), F.lit(15000)).select("source", "doc_id")
 
 
 def spine_layout(spark, d):
-    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
-    return _docs(spark, d).select("source", "doc_id", F.coalesce(F.sum(F.ceil(F.col("n_chars") / 60) * 60).over(w), F.lit(0)).alias("spine_at"))
+    docs = _docs(spark, d).select("source", "doc_id", "n_chars")
+    got = running.before(docs, "source", running.by_range(docs, "doc_id"), ["doc_id"], F.ceil(F.col("n_chars") / 60) * 60, name="spine_at")
+    return got.select("source", "doc_id", "spine_at")
 
 
 QUERIES = {

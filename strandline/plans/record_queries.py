@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.operators import continuity, daylog, ledgers, ranges, records
+from strandline.operators import continuity, daylog, ledgers, ranges, records, running
 from strandline.sources.tables import table
 
 #: The events table as records, for the oracle.
@@ -200,7 +200,8 @@ def open_windows(spark, d):
 
 def budget_fill(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    return ledgers.take_budget(docs, "source", "n_chars", 20000, "doc_id").select("doc_id", "source", "used_before")
+    got = running.before(docs, "source", running.by_range(docs, "doc_id"), ["doc_id"], F.col("n_chars"), F.lit(20000))
+    return got.select("doc_id", "source", "used_before")
 
 
 def first_probes(spark, d):
