@@ -11,8 +11,8 @@ from strandline.sources.tables import table
 
 
 def _sides(spark, d):
-    """Two run lists a user: of event numbers, spread far apart, seen by one kind of event or the other."""
-    e = _events(spark, d).withColumn("n", F.col("event_id") * 1_000_000_007)
+    """Two run lists a user: of thirds of event numbers, seen by one kind of event or the other."""
+    e = _events(spark, d)
     own = lambda *kinds: e.where(F.col("event_type").isin(*kinds)).select("user_id", F.floor(F.col("event_id") / 3).alias("n"))
     return [continuity.runs(own(*k), "user_id", "n") for k in (("view", "click"), ("click", "purchase", "error"))]
 

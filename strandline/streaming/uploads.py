@@ -12,29 +12,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from strandline.operators import continuity
 
 RECEIPT = "capture_id string, segment_num long, received_at long, sha256 string, status string"
-_KEPT = "sha256 string, duplicates long, conflicts long"
+_KEPT = "numbers array<long>, digests array<string>"
 KEY = ["capture_id", "segment_num"]
 
 
 def receipts(uploads: DataFrame) -> DataFrame:
     """A receipt per delivery of the stream: received (the segment's first), duplicate (the same bytes) or conflict (others).
 
-    What is kept of a segment is its first digest and two counts. Deliveries of one micro-batch count in the order of
-    ``received_at``."""
+    What is kept of a capture is the first digest of each of its segments; a capture is as long as a recording is. Deliveries
+    of one micro-batch count in the order of ``received_at``."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, duplicates, conflicts = state.get if state.exists else (None, 0, 0)
-        rows, out = pd.concat(list(frames)).sort_values(["received_at", "sha256"], kind="stable"), []
-        for at, digest in zip(rows["received_at"], rows["sha256"]):
-            status = "received" if first is None else "duplicate" if digest == first else "conflict"
-            first = digest if first is None else first
-            duplicates, conflicts = duplicates + (status == "duplicate"), conflicts + (status == "conflict")
-            out.append((*key, at, digest, status))
-        state.update((first, int(duplicates), int(conflicts)))
-        yield pd.DataFrame(out, columns=["capture_id", "segment_num", "received_at", "sha256", "status"])
+        first = dict(zip(*state.get)) if state.exists else {}
+        rows = pd.concat(list(frames)).sort_values(["received_at", "sha256"], kind="stable")
+        status = []
+        for n, digest in zip(rows["segment_num"].tolist(), rows["sha256"].tolist()):
+            held = first.setdefault(n, None)
+            status.append("received" if held is None else "duplicate" if digest == held else "conflict")
+            first[n] = digest if held is None else held
+        state.update((list(first), list(first.values())))
+        yield rows.assign(status=status)[["capture_id", "segment_num", "received_at", "sha256", "status"]]
 
     slim = uploads.select(*KEY, "received_at", "sha256")  # the bytes stay in the spool
-    return slim.groupBy(*KEY).applyInPandasWithState(run, RECEIPT, _KEPT, "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("capture_id").applyInPandasWithState(run, RECEIPT, _KEPT, "append", GroupStateTimeout.NoTimeout)
 
 
 def receipts_batch(uploads: DataFrame) -> DataFrame:
