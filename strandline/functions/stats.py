@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
-from math import comb
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Chances of the exact test that are taken at a time.
+BLOCK = 65536
 
-@F.pandas_udf(T.DoubleType())
-def fisher_greater(hits: pd.Series, n: pd.Series, base_hits: pd.Series, base_n: pd.Series) -> pd.Series:
-    """One-sided Fisher exact p: as many hits as seen or more, if both samples had one rate."""
 
-    def p(a, n1, b, n2):
-        total, good = n1 + n2, a + b
-        return sum(comb(good, k) * comb(total - good, n1 - k) for k in range(a, min(good, n1) + 1)) / comb(total, n1)
+def _weights(n1: int, n2: int, good: int, start: int, step: int) -> np.ndarray:
+    """Chances of ``start``, ``start + step``, ... hits in the first sample over that of ``start``, as far as they are not 0."""
+    least, most = max(0, good - n2), min(good, n1)
+    out, last, at = [np.ones(1, np.longdouble)], np.longdouble(1), start
+    while last > 0 and least <= at + step <= most:
+        k = np.arange(at, min(at + BLOCK, most) if step > 0 else max(at - BLOCK, least), step, dtype=np.longdouble)
+        up, down = (n1 - k) * (good - k), k * (n2 - good + k)
+        ratios = up / ((k + 1) * (n2 - good + k + 1)) if step > 0 else down / ((n1 - k + 1) * (good - k + 1))
+        out.append(last * np.cumprod(ratios))
+        last, at = out[-1][-1], at + step * len(k)
+    return np.concatenate(out)
+
 
-    return pd.Series([p(*map(int, r)) if n_ and m_ else None for *r, n_, m_ in zip(hits, n, base_hits, base_n, n, base_n)], dtype="float64")
+def _fisher(a: int, n1: int, b: int, n2: int) -> float:
+    """The tail from ``a`` on over the whole: each chance follows from its neighbour, from the likeliest one on both ways, so
+    that the work is the chances that differ from 0 (some 140 standard deviations at most) and not numbers of n digits."""
+    good = a + b
+    mode = (n1 + 1) * (good + 1) // (n1 + n2 + 2)
+    right, left = _weights(n1, n2, good, mode, 1), _weights(n1, n2, good, mode, -1)[1:]
+    low, high = left[::-1].sum(), right.sum()
+    if a > mode:
+        return float(right[a - mode :][::-1].sum() / (low + high))
+    return float((left[: mode - a][::-1].sum() + high) / (low + high))
+
+
+@F.pandas_udf(T.DoubleType())
+def fisher_greater(hits: pd.Series, n: pd.Series, base_hits: pd.Series, base_n: pd.Series) -> pd.Series:
+    """One-sided Fisher exact p: as many hits as seen or more, if both samples had one rate; null for an empty sample."""
+    rows = zip(hits, n, base_hits, base_n)
+    return pd.Series([_fisher(*map(int, r)) if all(map(pd.notna, r)) and r[1] and r[3] else None for r in rows], dtype="float64")
 
 
 def permutation_test(spark, a: list[float], b: list[float]) -> DataFrame:

@@ -4,8 +4,10 @@ import itertools
 import json
 import math
 import random
+import time
 import wave
 from difflib import SequenceMatcher
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -280,3 +282,21 @@ def test_near_repeats_compare_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = catalogue.queries()["near_repeats"](spark, str(tmp_path)).collect()
     assert sorted((r.turn, r.text) for r in got) == [(0, texts[0]), (1, texts[1])]
+
+
+def test_fisher_of_large_samples():
+    exact = lambda a, n, b, m: Fraction(sum(math.comb(a + b, k) * math.comb(n + m - a - b, n - k) for k in range(a, min(a + b, n) + 1)), math.comb(n + m, n))
+    for row in [(3, 4, 1, 5), (0, 4, 0, 5), (4, 4, 5, 5), (0, 7, 7, 7), (7, 7, 0, 7), (1500, 2000, 1100, 2500), (700, 2000, 1100, 2500)]:
+        assert stats._fisher(*row) == float(exact(*row))
+    begin = time.monotonic()
+    # the normal tail, with the correction for whole numbers: with numbers of a million digits this took hours
+    n, a, b = 10**6, 501_000, 500_000
+    z = (a - 0.5 - (a + b) / 2) / math.sqrt(n * n * (a + b) * (2 * n - a - b) / ((2 * n) ** 2 * (2 * n - 1)))
+    assert stats._fisher(a, n, b, n) == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, rel=1e-4)
+    assert stats._fisher(n, n, 0, n) == 0.0 and stats._fisher(0, n, n, n) == 1.0
+    assert time.monotonic() - begin < 30
+
+
+def test_fisher_of_null_counts(spark):
+    df = spark.createDataFrame([(None, 4, 1, 5), (3, 4, 1, 5)], "a int, n int, b int, m int")
+    assert [r.p is None for r in df.select(stats.fisher_greater("a", "n", "b", "m").alias("p")).collect()] == [True, False]
