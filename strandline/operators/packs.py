@@ -40,7 +40,10 @@ def packs(files: DataFrame, schemas: DataFrame, text: str = "text") -> DataFrame
     raw = raw.withColumn("_pairs", entries)
     # of a repeated key the last line counts
     first = lambda key, default: F.when(F.exists("_pairs", lambda e: e["key"] == key), F.try_element_at(F.reverse(F.transform(F.filter("_pairs", lambda e: e["key"] == key), lambda e: e["value"])), F.lit(1))).otherwise(F.lit(default))
-    sections = r"(?s)\A(?:(?!(?m:^\[(?:system|user)\]\s*$)).)*(?m:^\[system\]\s*$)((?:(?!(?m:^\[user\]\s*$)).)*)(?m:^\[user\]\s*$)(.*)\z"
+    # the first header is [system], its section ends at the next [user]; a header's line ends at its own line end, so that a
+    # section of white space alone is kept
+    header = r"(?m:^(?=\[(?:system|user)\][^\S\n]*$))"
+    sections = rf"(?s)\A(?>.*?{header})\[system\][^\S\n]*(\n.*?)(?m:^\[user\][^\S\n]*$)(.*)\z"
     inner = lambda i: F.regexp_replace(F.regexp_extract("_body", sections, i), r"\A\n+|\n+\z", "")
     named = raw.withColumns(
         {

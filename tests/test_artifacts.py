@@ -92,3 +92,26 @@ def test_replies_in_any_chunks(spark, tmp_path, seed):
     q.awaitTermination()
     streamed = replies.put_together(spark.read.parquet(str(tmp_path / "out")))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_packs_of_odd_texts_are_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from strandline.plans import artifact_queries
+
+    texts = [None, "", "   ", "12 34", "\n\n", "\t\n x", " x ", "你好 🙂🙂", "[user]", "[system]\n", "a b " * 50000, "--- id: x", "🙂" * 3000]
+    rows = [(10 * i + k, t, "en") for i, t in enumerate(texts) for k in range(10)] + [(5, " ", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("prompt_packs", "pack_sets"):
+        query, sql = artifact_queries.QUERIES[name]
+        got = query(spark, str(tmp_path))
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.execute(f"select {', '.join(got.columns)} from ({sql})").fetchall()))
+
+
+def test_a_pack_of_any_length(spark):
+    # characters of one and of two units in turn
+    body = "a🙂" * 100_000
+    held = parsed(spark, [f"[system]\n{body}\n[user]\nsay\n", "[user]\n[system]\nx\n[user]\ny\n", "[system]\n[systematic]\n[user] \n[user]\ny\n"]).orderBy("n").collect()
+    assert [(r.system, r.user) for r in held] == [(body, "say"), ("", ""), ("[systematic]", "[user]\ny")]
