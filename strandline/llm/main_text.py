@@ -20,9 +20,10 @@ of the main element that lead up to the article belong to it, and an article tha
 the page (TEASER) is a teaser.
 
 A host's pages are dealt to groups of about GROUP bytes of html by hash, so that a host with a third of all pages is many
-tasks' work; where pages without an article are among them, the groups exchange digests (64 bits) of their windows of
-RUN tokens with counts of pages, so that a substring's pages are counted over the whole host. What moves is 4 bytes a
-token, and the texts of pages without an article; articles are read a second time for the result.
+tasks' work; the groups of a host exchange digests (64 bits) of their windows of RUN tokens with counts of pages, in order
+and packed, so that every substring's pages are counted over the whole host and the result does not depend on the groups.
+What moves is 4 bytes a token, about 6 bytes a different window of hosts of several groups, and the texts of pages without an
+article; articles are read a second time for the result.
 
 Edge cases: null or empty html gives the empty text; a null url belongs to the host ""; html of any length is read whole
 and may be cut off anywhere; repeated rows get a row each; null identifiers stay null; an empty table gives an empty
@@ -316,11 +317,6 @@ class Streams:
             digest = (digest ^ (digest >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[self.codes[first + k]]
         return groups, digest.view(np.int64)
 
-    def over(self, mine: np.ndarray) -> np.ndarray:
-        """For each group of equal windows: whether one of them stands over a token of ``mine`` (separators included)."""
-        sums = np.concatenate([[0], np.cumsum(mine)])
-        return np.bincount(self.group, sums[np.minimum(self.sa + RUN, len(mine))] > sums[self.sa], len(self.pages)) > 0
-
     def covered(self, elsewhere: np.ndarray) -> list[np.ndarray]:
         """Per page and token: whether a window that repeats across PAGES pages here, or one of these digests, covers it."""
         repeats = self.pages >= PAGES
@@ -397,26 +393,68 @@ class Group:
         self.mine = [np.repeat(o.astype(bool), n) for o, n in zip(of("own", np.uint8), self.sizes)]
 
 
-def unsettled(table: pa.Table) -> pa.Table:
-    """(host, groups) if pages without an article are in this group of several."""
-    host, groups = (table.column(c)[0].as_py() for c in ("host", "groups"))
-    on = groups > 1 and any(k != "article" for k in table.column("kind").to_pylist())
-    return _rows([(host, groups)] if on else [], "host groups", [_S, pa.int32()])
-
-
-def windows(table: pa.Table, asked: pa.Table) -> pa.Table:
-    """(host, g, digest, pages, wanted) of each window of RUN tokens of a group that was asked: the distinct pages it
-    stands on here, and whether it stands over an own token of a page without an article, so that it could be removed."""
-    names, kinds = "host g digest pages wanted", [_S, pa.int32(), _L, _L, pa.bool_()]
-    if not (table.num_rows and asked.num_rows):
+def counted(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, pages, wanted) of a group's different windows of RUN tokens in order: the distinct pages it stands on here, PAGES
+    at most, and whether it stands over a page's own token, so that it matters here."""
+    sizes = np.array([len(c) for c in group.codes])
+    words = (np.concatenate(group.codes).astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(max(0, len(words) - RUN + 1))
+    at = at[owner[at] == owner[at + RUN - 1]]
+    digest = np.zeros(len(at), np.uint64)
+    for k in range(RUN):
+        digest = (digest ^ (digest >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[at + k]
+    sums = np.concatenate([[0], np.cumsum(np.concatenate(group.mine))])
+    order = np.argsort(digest, kind="stable")  # windows of one digest stay in order of pages
+    digest, at = digest[order], at[order]
+    first = np.append(True, digest[1:] != digest[:-1])[: len(digest)]
+    page = first | np.append(True, owner[at[1:]] != owner[at[:-1]])[: len(digest)]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return digest, np.zeros(0, np.int64), np.zeros(0, bool)
+    return digest[starts], np.minimum(np.add.reduceat(page.astype(np.int64), starts), PAGES), np.logical_or.reduceat(sums[at + RUN] > sums[at], starts)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """An array's bytes, those of one place together, deflated."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+
+
+def windows(table: pa.Table) -> pa.Table:
+    """(host, shard, g, digests, pages) of a group of several: its windows by ranges of their digests, as many ranges as the
+    host has groups; the digests in order as differences, pages with a bit for wanted ones."""
+    names, kinds = "host shard g digests pages", [_S, pa.int32(), pa.int32(), _B, _B]
+    if table.column("groups")[0].as_py() == 1:
         return _rows([], names, kinds)
     group = Group(table)
-    streams = Streams(group.codes)
-    groups, digest = streams.digests()
-    mine = np.concatenate([np.append(m & (k != "article"), False) for m, k in zip(group.mine, group.kinds)])
-    n = len(digest)
-    columns = [pa.array([group.host] * n, _S), pa.array(np.full(n, group.g, np.int32)), pa.array(digest), pa.array(streams.pages[groups]), pa.array(streams.over(mine)[groups])]
-    return pa.table(columns, names=names.split())
+    digest, pages, wanted = counted(group)
+    flags = (2 * pages + wanted).astype(np.uint8)
+    width = np.uint64(2**64 // group.groups)
+    cuts = np.searchsorted(digest, np.arange(1, group.groups, dtype=np.uint64) * width).tolist()
+    rows = []
+    for shard, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(digest)])):
+        if b > a:
+            rows.append((group.host, shard, group.g, _planes(np.diff(digest[a:b], prepend=np.uint64(0))), _planes(flags[a:b])))
+    return _rows(rows, names, kinds)
+
+
+def reaching(table: pa.Table) -> pa.Table:
+    """(host, g, digests): of one range of a host's windows those that reach PAGES pages in all, for each group that wants them
+    and has fewer."""
+    held = []
+    for digests, pages in zip(table.column("digests").to_pylist(), table.column("pages").to_pylist()):
+        flags = np.frombuffer(zlib.decompress(pages), np.uint8)
+        planes = np.frombuffer(zlib.decompress(digests), np.uint8).reshape(8, len(flags))
+        held.append((np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64), flags))
+    own, at = np.unique(np.concatenate([d for d, _ in held]), return_inverse=True)
+    reached = np.bincount(at, np.concatenate([f >> 1 for _, f in held]), len(own)) >= PAGES
+    rows, begin = [], 0
+    for g, (digest, flags) in zip(table.column("g").to_pylist(), held):
+        back = digest[reached[at[begin : begin + len(digest)]] & (flags & 1 > 0) & (flags >> 1 < PAGES)]
+        begin += len(digest)
+        if len(back):
+            rows.append((table.column("host")[0].as_py(), g, back.tobytes()))
+    return _rows(rows, "host g digests", [_S, pa.int32(), _B])
 
 
 def searched(table: pa.Table, back: pa.Table) -> pa.Table:
@@ -425,7 +463,7 @@ def searched(table: pa.Table, back: pa.Table) -> pa.Table:
     if not table.num_rows:
         return _rows([], names, kinds)
     group = Group(table)
-    hits = Streams(group.codes).covered(np.array(back.column("digest").to_pylist(), np.int64))
+    hits = Streams(group.codes).covered(np.frombuffer(b"".join(back.column("digests").to_pylist()), np.int64))
     rows, counts = [], {}
     ids, urls, texts = (table.column(c).to_pylist() for c in ("page_id", "url", "texts"))
     for i, (kind, hit, mine) in enumerate(zip(group.kinds, hits, group.mine)):
@@ -467,13 +505,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     streams = dealt.select("page_id", "url", "host", "g", "groups", "html").mapInArrow(streams_of, _STREAM).repartition("host", "g")
     by_group = streams.groupBy("host", "g")
 
-    # groups of a host with pages that have no article exchange digests of their windows: those that reach PAGES pages in
-    # all go back to the groups that hold them
-    asked = by_group.applyInArrow(unsettled, "host string, groups int").distinct()
-    asked = asked.select("host", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
-    several = by_group.cogroup(asked.groupBy("host", "g")).applyInArrow(windows, "host string, g int, digest long, pages long, wanted boolean")
-    common_ones = several.groupBy("host", "digest").agg(F.sum("pages").alias("all"), F.bool_or("wanted").alias("any")).where((F.col("all") >= PAGES) & F.col("any"))
-    back = several.where((F.col("pages") < PAGES) & F.col("wanted")).join(common_ones.select("host", "digest"), ["host", "digest"]).select("host", "g", "digest")
+    # the groups of a host exchange digests of their windows: those that reach PAGES pages in all go back to the groups
+    # that hold them
+    shards = by_group.applyInArrow(windows, "host string, shard int, g int, digests binary, pages binary")
+    back = shards.groupBy("host", "shard").applyInArrow(reaching, "host string, g int, digests binary")
     found = common.staged(by_group.cogroup(back.groupBy("host", "g")).applyInArrow(searched, _FOUND), "found")
 
     sums = found.where("slot is not null").groupBy("host", "slot").agg(*(F.sum(c).alias(c) for c in ("pages", "covered", "total")))

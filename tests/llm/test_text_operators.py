@@ -294,3 +294,17 @@ def test_warc_payloads_that_are_no_text():
     assert [h["WARC-Type"] for h, _ in image] == ["metadata"] and b"the payload is no text" in image[0][1] and b"source-length: 8" in image[0][1]
     for kind in ("text/html", "application/xhtml+xml; charset=utf-8", "application/json", "image/svg+xml"):
         assert len(made(kind, b"<p>word</p>")) == (1 if kind.startswith("image") else 2)
+
+
+def test_main_text_of_articles_does_not_depend_on_groups(spark, monkeypatch):
+    # a slot of all articles of a host without other pages, each page a group of its own: 6 KB of 4 MB would be one group
+    tell = "read more about all of this in our archive below"
+    page = lambda i: f"<article><p>{' '.join(f'w{i}x{k}' for k in range(40))}</p><div class='tell'>{tell}</div><p>{' '.join(f'v{i}y{k}' for k in range(9))}</p></article>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(12)] + [(90, "http://b.example/", page(90)), (91, "http://a.example/s", "<p>short one</p>"), (92, "http://a.example/t", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for size in (1_000_000, 1500, 100):
+        monkeypatch.setattr(main_text, "GROUP", size)
+        found.append(sorted((r.page_id, r.text) for r in main_text.main_text(pages).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    assert all((tell in t) == (i == 90) for i, t in found[0] if i < 91)
