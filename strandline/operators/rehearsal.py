@@ -10,12 +10,17 @@ from strandline.functions import text as texts
 
 #: Hex digits of the seeded order by which running sums are taken in two steps: 4096 buckets a user.
 BUCKET = 3
+#: Parts in which a user's windows are compared to tonight's.
+SALTS = 512
 
 
 def _before(rows: DataFrame, tonight: DataFrame, user: str, window: str) -> DataFrame:
-    """Rows of windows strictly before each user's own of tonight; ids compare as text."""
-    own = tonight.select(user, F.col("before").cast("string").alias("_before"))
-    return rows.join(own, user).where(F.col(window).cast("string") < F.col("_before")).drop("_before")
+    """Rows of windows strictly before each user's own of tonight; ids compare as text. A user's rows meet the own window in
+    SALTS parts, so that no task reads all of them."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    own = tonight.select(user, F.col("before").cast("string").alias("_before"), salts.alias("_salt"))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(window), F.lit(SALTS)))
+    return dealt.join(own, [user, "_salt"]).where(F.col(window).cast("string") < F.col("_before")).drop("_before", "_salt")
 
 
 def prior_windows(windows: DataFrame, tonight: DataFrame, user: str, window: str) -> DataFrame:

@@ -82,3 +82,22 @@ def test_a_plan_keeps_the_order_of_its_file(spark, tmp_path):
     (tmp_path / "empty.jsonl").write_text("\n")
     with pytest.raises(ValueError, match="empty"):
         files.replay_plan(spark, str(tmp_path / "empty.jsonl"))
+
+
+def test_windows_of_one_user_meet_tonight_in_parts(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(2000).select(F.lit("u").alias("user_id"), F.format_string("w%05d", "id").alias("window_id"), F.lit(0).alias("part"), F.lit("t").alias("text"))
+    tonight = spark.createDataFrame([("u", "w01500", 10)], "user_id string, before string, target int")
+    set_to = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in set_to}
+    try:
+        for k, v in set_to.items():
+            spark.conf.set(k, v)
+        got = rehearsal.sources("amp", tonight, "user_id", "window_id", corpora=rows)
+        parts = got.groupBy(F.spark_partition_id()).count().collect()
+        assert got.columns == ["user_id", "window_id", "part", "text"]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in parts) == 1500 and len(parts) > 1
