@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.sources.tables import shared_folder
+
 #: Levels of objects that are walked at most; a deeper document raises.
 DEEPEST = 64
 
 
-def _is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-
-
 def nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, path, parent, is_object, value) of every node of the documents' objects: path joined by dots ('' for the root),
-    value its canonical text. Lists are values. A document that is no JSON has no nodes."""
-    shown = lambda df: df.select(key, "path", "parent", _is_object(F.col("v")).alias("is_object"), F.to_json("v").alias("value"), "v")
-    level = shown(docs.select(key, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.try_parse_json(text).alias("v")).where("v is not null"))
-    out = level.drop("v")
-    for _ in range(DEEPEST):
-        inner = level.where("is_object")
+    value its canonical text. Lists are values. A document that is no JSON has no nodes.
+
+    Each level is written to the shared folder and read again: the next one starts from its texts, not from the documents."""
+    spark = docs.sparkSession
+    folder = shared_folder(spark)
+
+    def level(rows: DataFrame, depth: int) -> DataFrame:
+        shown = rows.select(key, "path", "parent", F.to_json("v").alias("value"))
+        # the text of an object, and of no other value, begins with a brace
+        shown = shown.select(key, "path", "parent", F.coalesce(F.col("value").startswith("{"), F.lit(False)).alias("is_object"), "value")
+        shown.write.parquet(f"{folder}/{depth}")
+        return spark.read.schema(shown.schema).parquet(f"{folder}/{depth}")
+
+    held = [level(docs.select(key, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.try_parse_json(text).alias("v")).where("v is not null"), 0)]
+    for depth in range(DEEPEST):
+        inner = held[-1].where("is_object")
         if inner.isEmpty():
-            return out
-        fields = inner.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("_k"), F.col("value").alias("_v")))
-        level = shown(fields.select(key, F.concat_ws(".", F.nullif("path", F.lit("")), "_k").alias("path"), F.col("path").alias("parent"), F.col("_v").alias("v")))
-        out = out.unionByName(level.drop("v"))
+            return reduce(DataFrame.unionByName, held)
+        fields = inner.withColumn("v", F.parse_json("value")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("_k"), F.col("value").alias("_v")))
+        held.append(level(fields.select(key, F.concat_ws(".", F.nullif("path", F.lit("")), "_k").alias("path"), F.col("path").alias("parent"), F.col("_v").alias("v")), depth + 1))
     raise ValueError(f"a document is deeper than {DEEPEST} objects")
 
 

@@ -127,3 +127,16 @@ def test_table_of_readouts(spark):
     lines = [r.line for r in suites.table_of(spark.createDataFrame(rows, kinds)).orderBy("place").collect()]
     assert lines[0].split() == ["run", "seen", "sep", "micro", "heldout", "base", "ret(d0)", "traps"] and set(lines[1]) == {"-"} and len(lines[1]) == len(lines[0])
     assert lines[2].startswith("a" * 30) and lines[3] == f"{'b':<22}{0.25:>8.4f}{'nan':>9}{0.5:>8.4f}{0.125:>9.4f}{0.1:>8.4f}{'nan':>9}{1.0:>7.2f}"
+
+
+def test_levels_of_nodes_start_from_the_level_above(spark):
+    from strandline.operators import nested as walked
+
+    docs = spark.createDataFrame([(1, '{"b": {"c": {}}, "a": "{", "l": [{}], "n": null}'), (2, "[{}]"), (3, "no"), (4, None)], "id int, doc string")
+    got = walked.nodes(docs, "id", "doc")
+    assert sorted((r.id, r.path, r.parent, r.is_object, r.value) for r in got.where("path <> ''").collect()) == [
+        (1, "a", "", False, '"{"'), (1, "b", "", True, '{"c":{}}'), (1, "b.c", "b", True, "{}"), (1, "l", "", False, "[{}]"), (1, "n", "", False, "null"),
+    ]
+    assert sorted((r.id, r.is_object) for r in got.where("path = ''").collect()) == [(1, True), (2, False)]
+    # documents are parsed once, not again for every level
+    assert "parse" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
