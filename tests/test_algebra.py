@@ -140,3 +140,22 @@ def test_levels_of_nodes_start_from_the_level_above(spark):
     assert sorted((r.id, r.is_object) for r in got.where("path = ''").collect()) == [(1, True), (2, False)]
     # documents are parsed once, not again for every level
     assert "parse" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_all_kinds_of_run_lists_in_one_sweep(spark):
+    """The lists are made once for all kinds, whatever their number."""
+    rng = random.Random(7)
+    sides = [[(rng.randint(0, 3), a, a + rng.randint(-1, 6)) for a in (rng.randint(-10, 30) for _ in range(20))] for _ in range(2)]
+    frames = [spark.createDataFrame([*rows, (None, 1, 3)], "g int, lo long, hi long") for rows in sides]
+    got = {tuple(r) for r in runlists.algebra(*frames, "g").collect()}
+    assert got == {(k, *r) for k in runlists.KINDS for r in getattr(runlists, k)(*frames, "g").collect()}
+
+
+def test_run_algebra_reads_its_lists_once_and_deals_them_by_rows(spark, monkeypatch):
+    from strandline.plans import algebra_queries
+
+    monkeypatch.setattr(algebra_queries, "ROWS", 10, raising=False)
+    found = algebra_queries.run_algebra(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2  # one a side; six when each kind made its own
+    assert found.rdd.getNumPartitions() > 4
