@@ -1,6 +1,6 @@
 """Structured Streaming: the claim machine over at-least-once deliveries, and continuity per stream, with batch twins.
 
-Both keep one small state per key in the state store; over a complete set of files the stream's last rows per key equal
+Continuity keeps one small state per key in the state store, claims one per bucket of keys; over a complete set of files the stream's last rows per key equal
 the batch twin's.
 """
 
@@ -21,33 +21,41 @@ from strandline.streaming.store import Store, Table
 HEAL_BUDGET = 3
 
 CLAIM = "chunk_id string, seq long, verdict string, heals int"
-CLAIM_STATE = "version string, ok boolean, heals int"
+CLAIM_STATE = "chunk array<string>, version array<string>, ok array<boolean>, heals array<int>"
+#: Keys of the state: a bucket holds the chunks whose names hash to it. Fixed for the life of a checkpoint.
+BUCKETS = 1024
 
 
 def claims_stream(deliveries: DataFrame) -> DataFrame:
     """A verdict per delivery (chunk_id, seq, version, ok): fresh, version_forward, heal or skip.
 
     ``ok`` says whether this attempt left no holes. A chunk's first delivery is fresh; another version moves it forward;
-    a delivery of a record with holes heals it while its budget lasts; the rest are skipped."""
+    a delivery of a record with holes heals it while its budget lasts; the rest are skipped. Chunks are kept by BUCKETS, so
+    that a call of the fold has the rows of many chunks, however few deliveries each of them has."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, ok, heals = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
+        held = {c: tuple(r) for c, *r in zip(*state.get)} if state.exists else {}
+        rows = pd.concat(list(frames)).sort_values(["_none", "seq"], kind="stable")
+        verdicts, spent = [], []
+        for chunk, own, good in zip(rows["chunk_id"].tolist(), rows["version"].tolist(), rows["ok"].tolist()):
+            version, ok, heals = held.get(chunk, (None, None, 0))
             if version is None:
-                verdict, version, ok = "fresh", r.version, bool(r.ok)
-            elif r.version != version:
-                verdict, version, ok, heals = "version_forward", r.version, bool(r.ok), 0
+                verdict, version, ok = "fresh", own, bool(good)
+            elif own != version:
+                verdict, version, ok, heals = "version_forward", own, bool(good), 0
             elif not ok and heals < HEAL_BUDGET:
-                verdict, ok, heals = "heal", bool(r.ok), heals + 1
+                verdict, ok, heals = "heal", bool(good), heals + 1
             else:
                 verdict = "skip"
-            out.append((key[0], r.seq, verdict, heals))
-        state.update((version, ok, heals))
-        yield pd.DataFrame(out, columns=["chunk_id", "seq", "verdict", "heals"])
-
-    return deliveries.groupBy("chunk_id").applyInPandasWithState(run, CLAIM, CLAIM_STATE, "append", GroupStateTimeout.NoTimeout)
+            held[chunk] = (version, ok, heals)
+            verdicts.append(verdict)
+            spent.append(heals)
+        state.update((list(held), *(list(c) for c in zip(*held.values()))))
+        yield rows[["chunk_id"]].assign(seq=rows["seq"].astype("Int64").mask(rows["_none"]), verdict=verdicts, heals=spent)
+
+    # a null number comes last, and stays apart so that the others keep all their digits
+    dealt = deliveries.select("chunk_id", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), "version", "ok", F.col("seq").isNull().alias("_none"))
+    return dealt.withColumn("_bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS))).groupBy("_bucket").applyInPandasWithState(run, CLAIM, CLAIM_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def claims_batch(deliveries: DataFrame) -> DataFrame:

@@ -258,6 +258,23 @@ def test_claim_stream_equals_batch(spark, tmp_path):
     assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == 120
 
 
+def test_claims_are_kept_by_buckets(spark, tmp_path, monkeypatch):
+    """The fold is called once a bucket, not once a chunk; numbers keep all their digits beside null ones."""
+    monkeypatch.setattr(claims, "BUCKETS", 4, raising=False)
+    rng = random.Random(8)
+    rows = [(f"c{rng.randrange(60)}", 2**60 + i, rng.choice(("v1", "v2")), rng.random() < 0.5) for i in range(300)]
+    for k in range(3):
+        part = rows[k * 100 : k * 100 + 100] + ([("none", None, "v1", True)] if k == 2 else [])
+        spark.createDataFrame(part, DELIVERY).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(T.StructType.fromDDL(DELIVERY)).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = claims.claims_stream(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination(120)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) == 4
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = claims.claims_batch(spark.createDataFrame([*rows, ("none", None, "v1", True)], DELIVERY)).select(got.columns)
+    assert got.exceptAll(want).count() == 0 and got.count() == 301
+
+
 def test_continuity_stream_equals_batch(spark, tmp_path):
     rng = random.Random(7)
     kinds = "stream_id long, sequence long, chunk_id string, at long"
