@@ -22,6 +22,8 @@ from strandline.functions import checks
 
 #: The greatest segment number, and the characters of a capture's name. Fixed values.
 MOST, SAFE = 9_999_999, r"\A[A-Za-z0-9._-]+\z"
+#: Bytes and rows of a batch that is read at once, about.
+BATCH, ROWS = 8_000_000, 10_000
 
 UPLOAD = (
     "capture_id string, segment_num long, user_id string, device_id string, t_start string, t_end string, mime string, device_tz string, "
@@ -110,7 +112,10 @@ class _Spool:
     def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
         files, _ = opened(self.path)
         with files.open_input_file(partition.path) as held:
-            yield from pq.ParquetFile(held).iter_batches(batch_size=256, row_groups=[partition.group])
+            file = pq.ParquetFile(held)
+            own = file.metadata.row_group(partition.group)
+            rows = max(1, min(ROWS, BATCH * own.num_rows // max(1, own.total_byte_size)))
+            yield from file.iter_batches(batch_size=rows, row_groups=[partition.group])
 
 
 class SpoolReader(_Spool, DataSourceReader):

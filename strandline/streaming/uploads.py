@@ -12,29 +12,34 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from strandline.operators import continuity
 
 RECEIPT = "capture_id string, segment_num long, received_at long, sha256 string, status string"
-_KEPT = "numbers array<long>, digests array<string>"
+_KEPT = "captures array<string>, numbers array<array<long>>, digests array<array<string>>"
 KEY = ["capture_id", "segment_num"]
+#: Keys of the state: a bucket holds the captures whose names hash to it. Fixed for the life of a checkpoint.
+BUCKETS = 1024
 
 
 def receipts(uploads: DataFrame) -> DataFrame:
     """A receipt per delivery of the stream: received (the segment's first), duplicate (the same bytes) or conflict (others).
 
-    What is kept of a capture is the first digest of each of its segments; a capture is as long as a recording is. Deliveries
-    of one micro-batch count in the order of ``received_at``."""
+    What is kept of a capture is the first digest of each of its segments; a capture is as long as a recording is. Captures
+    are kept by BUCKETS, so that a call has the deliveries of many. Deliveries of one micro-batch count in the order of
+    ``received_at``."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = dict(zip(*state.get)) if state.exists else {}
+        first = {c: dict(zip(n, d)) for c, n, d in zip(*state.get)} if state.exists else {}
         rows = pd.concat(list(frames)).sort_values(["received_at", "sha256"], kind="stable")
         status = []
-        for n, digest in zip(rows["segment_num"].tolist(), rows["sha256"].tolist()):
-            held = first.setdefault(n, None)
+        for capture, n, digest in zip(rows["capture_id"].tolist(), rows["segment_num"].tolist(), rows["sha256"].tolist()):
+            own = first.setdefault(capture, {})
+            n = int(n) if n == n else None
+            held = own.get(n)
             status.append("received" if held is None else "duplicate" if digest == held else "conflict")
-            first[n] = digest if held is None else held
-        state.update((list(first), list(first.values())))
+            own[n] = digest if held is None else held
+        state.update((list(first), [list(f) for f in first.values()], [list(f.values()) for f in first.values()]))
         yield rows.assign(status=status)[["capture_id", "segment_num", "received_at", "sha256", "status"]]
 
     slim = uploads.select(*KEY, "received_at", "sha256")  # the bytes stay in the spool
-    return slim.groupBy("capture_id").applyInPandasWithState(run, RECEIPT, _KEPT, "append", GroupStateTimeout.NoTimeout)
+    return slim.withColumn("_bucket", F.pmod(F.xxhash64("capture_id"), F.lit(BUCKETS))).groupBy("_bucket").applyInPandasWithState(run, RECEIPT, _KEPT, "append", GroupStateTimeout.NoTimeout)
 
 
 def receipts_batch(uploads: DataFrame) -> DataFrame:

@@ -38,6 +38,25 @@ def test_uploads_are_refused(spark):
     assert got[6] == got[7] == ["device_tz"] and got[8] == ["t_start"] and got[9] == ["body"]
 
 
+def test_receipts_are_kept_by_buckets(spark, tmp_path, monkeypatch):
+    """Many captures share a key of the state, and a spooled batch is read in pieces of so many bytes."""
+    monkeypatch.setattr(uploads, "BUCKETS", 2, raising=False)
+    folder = str(tmp_path / "spool")
+    sent = [upload(f"c{i % 20}", i % 3, b"one" if i % 4 else b"two", i) for i in range(200)]
+    for n in range(2):
+        spool.spool(spool.accepted(checked(spark, sent[n * 100 : n * 100 + 100])), folder, n)
+    rows = named.stream_source(spark, "segment_spool", path=folder)
+    q = uploads.receipts(rows).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "rows"))
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) == 2
+    got = spark.read.parquet(str(tmp_path / "rows"))
+    want = uploads.receipts_batch(named.source(spark, "segment_spool", path=folder)).select(got.columns)
+    assert got.exceptAll(want).count() == 0 and got.count() == 200
+    monkeypatch.setattr(spool, "BATCH", 1)
+    reader = spool.SpoolReader({"path": folder})
+    assert {b.num_rows for part in reader.partitions() for b in reader.read(part)} == {1}
+
+
 def test_spool_streams_each_batch_once(spark, tmp_path):
     folder, out = str(tmp_path / "spool"), str(tmp_path / "rows")
     batches = [
