@@ -71,14 +71,15 @@ def ingested_chunks(spark, d):
     digest = F.when(F.col("k") % 10 == 7, "bad").otherwise(F.sha2(F.encode(chunk, "utf-8"), 256))
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     e = _events(spark, d).select(chunk.alias("chunk_id"), F.col("user_id").cast("string").alias("user_id"), F.lit("audio").alias("modality"), at.alias("t_start"), at.alias("t_end"), chunk.alias("blob_ref"), digest.alias("blob_sha256"), F.col("event_id").alias("seq"), (F.col("k") % 10).alias("m"))
-    blobs = e.where("m <> 8").select("blob_ref", F.encode("blob_ref", "utf-8").alias("data"), (F.col("m") == 9).alias("deleted")).distinct()
+    e.where("m <> 8").select("blob_ref", F.encode("blob_ref", "utf-8").alias("data"), (F.col("m") == 9).alias("deleted")).distinct().write.parquet(f"{folder}/blobs")
+    blobs = spark.read.parquet(f"{folder}/blobs")
     sliced = _slices(e.drop("m"), "seq", 5)
-    for n in range(5):
-        sliced.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/deliveries")
-    rows = spark.readStream.schema(ingest.DELIVERY).option("maxFilesPerTrigger", 1).parquet(f"{folder}/deliveries")
     held = ingest.store(spark, f"{folder}/store", every=3)
-    q = rows.writeStream.foreachBatch(ingest.ingest(held, _stages(), blobs)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for n in range(5):  # a slice arrives, in as many files as it is read by, and is the stream's next micro-batch
+        sliced.where(F.col("part") == n).drop("part").write.mode("append").parquet(f"{folder}/deliveries")
+        rows = spark.readStream.schema(ingest.DELIVERY).parquet(f"{folder}/deliveries")
+        q = rows.writeStream.foreachBatch(ingest.ingest(held, _stages(), blobs)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     return ingest.totals(held)
 
 

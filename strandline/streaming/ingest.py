@@ -108,11 +108,15 @@ def ingest(held: Store, registry: stagegraph.Registry, blobs: DataFrame, after:
 
     def write(batch: DataFrame, number: int) -> None:
         deliveries = batch.select(*[c.strip().split(" ")[0] for c in DELIVERY.split(",")])
-        claimed = _claimed(deliveries, held.read("ledger", number), version)
-        ran = processed(claimed, blobs, registry)
-        step = f"{held.path}/runs/batch={number}"
-        ran.write.mode("overwrite").parquet(step)  # the stages run once, whatever reads their results
-        ran = held.spark.read.schema(ran.schema).parquet(step)
+        folder = f"{held.path}/runs/batch={number}"
+
+        def once(rows: DataFrame, name: str) -> DataFrame:
+            """The rows, written down: they are made once, whatever reads them."""
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+            return held.spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+        claimed = once(_claimed(deliveries, held.read("ledger", number), version), "claimed")
+        ran = once(processed(claimed, blobs, registry), "ran")
 
         made = ran.where("outcome = 'done'").select("record_id", "chunk_id", "d.user_id", F.lit(version).alias("pipeline_version"), "record_json", F.lit(number).alias("batch"))
         old = held.read("records", number).select("record_id", F.col("record_json").alias("_was"))
@@ -127,7 +131,7 @@ def ingest(held: Store, registry: stagegraph.Registry, blobs: DataFrame, after:
         held.write("answers", told.select("chunk_id", "seq", verdict.alias("verdict"), F.coalesce("_old", "record_id").alias("record_id")), number)
         _told(after, "answers")
         held.commit(number)
-        remove(held.spark, step)
+        remove(held.spark, folder)
 
     return write
 

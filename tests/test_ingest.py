@@ -286,3 +286,13 @@ def test_joined_runs():
             lo, hi = continuity.joined(lo, hi, np.array(new, np.int64))
             assert {x for a, b in zip(lo, hi) for x in range(a, b + 1)} == held
             assert all(a > b + 1 for a, b in zip(lo[1:], hi[:-1]))
+
+
+def test_ingested_chunks_makes_its_blobs_once(spark, monkeypatch):
+    """Every micro-batch joins the written blobs instead of making them from the events again."""
+    from strandline.plans import ingest_queries
+
+    seen, own = [], ingest.ingest
+    monkeypatch.setattr(ingest, "ingest", lambda held, registry, blobs, after=None: seen.append(blobs.inputFiles()) or own(held, registry, blobs, after))
+    assert ingest_queries.ingested_chunks(spark, "/root/testdata/sf0.001").count()
+    assert seen and not any("events" in f for files in seen for f in files)
