@@ -144,6 +144,7 @@ def nightly_cycle(spark, d):
         profile.anchored(lambda name: day if name == "day" else F.lit("town")).alias("anchors"),
     )
     stages = Stages(spark, f"{shared_folder(spark)}/nights", cycle.OWNER)
+    blocks = stages.held(blocks)  # both nights read them several times
     recipe, policy = cycle.Recipe("r1", ok_rate_min=0.5), POLICY | {"policy_id": "p1", "freeze": 2}
     out = None
     for w in ("w1", "w2"):

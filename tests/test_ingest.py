@@ -296,3 +296,13 @@ def test_ingested_chunks_makes_its_blobs_once(spark, monkeypatch):
     monkeypatch.setattr(ingest, "ingest", lambda held, registry, blobs, after=None: seen.append(blobs.inputFiles()) or own(held, registry, blobs, after))
     assert ingest_queries.ingested_chunks(spark, "/root/testdata/sf0.001").count()
     assert seen and not any("events" in f for files in seen for f in files)
+
+
+def test_nightly_cycle_makes_its_blocks_once(spark, monkeypatch):
+    """Both nights read the written blocks instead of making them from the events again."""
+    from strandline.plans import ingest_queries
+
+    seen, own = [], ingest_queries.cycle.night
+    monkeypatch.setattr(ingest_queries.cycle, "night", lambda stages, blocks, *more: seen.append(blocks.inputFiles()) or own(stages, blocks, *more))
+    assert ingest_queries.nightly_cycle(spark, "/root/testdata/sf0.001").count()
+    assert len(seen) == 2 and not any("events" in f for files in seen for f in files)
