@@ -20,10 +20,12 @@ of the main element that lead up to the article belong to it, and an article tha
 the page (TEASER) is a teaser.
 
 A host's pages are dealt to groups of about GROUP bytes of html by hash, so that a host with a third of all pages is many
-tasks' work; the groups of a host exchange digests (64 bits) of their windows of RUN tokens with counts of pages, in order
-and packed, so that every substring's pages are counted over the whole host and the result does not depend on the groups.
-What moves is 4 bytes a token, about 6 bytes a different window of hosts of several groups, and the texts of pages without an
-article; articles are read a second time for the result.
+tasks' work; the groups of a host exchange digests of their windows of RUN tokens with counts of pages, in order and packed,
+so that every substring's pages are counted over the whole host and the result does not depend on the groups. They do so
+twice: first all windows, by as many bits as tell a host's windows apart for the most part (SPARE), which leaves those that
+may stand in several groups and on PAGES pages; then these by 64 bits, which decide. What moves is 3 to 4 bytes a token (codes,
+deflated by page), of hosts of several groups about 5 bits and log2(groups) for a different window of a group, and the
+texts of pages without an article; articles are read a second time for the result.
 
 Edge cases: null or empty html gives the empty text; a null url belongs to the host ""; html of any length is read whole
 and may be cut off anywhere; repeated rows get a row each; null identifiers stay null; an empty table gives an empty
@@ -48,6 +50,9 @@ from strandline.llm import common, suffixes
 RUN, PAGES = 6, 3
 #: Bytes of html of a host whose streams are searched together, about.
 GROUP = 4_000_000
+#: Bits of short digests beyond those that count a host's windows, one for every eight bytes of html; groups whose windows a
+#: range of digests holds, about.
+SPARE, RANGE = 3, 4
 #: Share of a page's own tokens beyond which repetition means a copied page.
 MOSTLY = 0.8
 #: Share of a slot's tokens that repetition must cover for the slot to be boilerplate inside an article.
@@ -376,7 +381,7 @@ def streams_of(batches):
             slots = np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) for _, s, _ in found], np.int64)
             own = np.array([z == kind for z, _, _ in found], np.uint8)
             shown = (None, None, None) if kind == "article" else (page_id, url, texts)
-            rows.append((*shown[:2], host, g, groups, kind, np.concatenate(codes).tobytes(), np.array([len(c) for c in codes], np.int32).tobytes(), slots.tobytes(), own.tobytes(), shown[2]))
+            rows.append((*shown[:2], host, g, groups, kind, zlib.compress(np.concatenate(codes).tobytes(), 1), np.array([len(c) for c in codes], np.int32).tobytes(), slots.tobytes(), own.tobytes(), shown[2]))
         kinds = [_L, _S, _S, pa.int32(), pa.int32(), _S, _B, _B, _B, _B, pa.list_(_S)]
         names = "page_id url host g groups kind codes sizes slots own texts"
         yield from _rows(rows, names, kinds).combine_chunks().to_batches()
@@ -389,13 +394,19 @@ class Group:
         of = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
         self.host, self.g, self.groups = (table.column(c)[0].as_py() for c in ("host", "g", "groups"))
         self.kinds, self.slots, self.sizes = table.column("kind").to_pylist(), of("slots", np.int64), of("sizes", np.int32)
-        self.codes = of("codes", np.uint32)
+        self.codes = [np.frombuffer(zlib.decompress(x), np.uint32) for x in table.column("codes").to_pylist()]
         self.mine = [np.repeat(o.astype(bool), n) for o, n in zip(of("own", np.uint8), self.sizes)]
 
 
-def counted(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def short_bits(groups: int) -> int:
+    """Bits of the short digests of a host of so many groups."""
+    return min(64, (groups * GROUP // 8).bit_length() + SPARE)
+
+
+def counted(group: Group, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(digest, pages, wanted) of a group's different windows of RUN tokens in order: the distinct pages it stands on here, PAGES
-    at most, and whether it stands over a page's own token, so that it matters here."""
+    at most, and whether it stands over a page's own token, so that it matters here. ``among``: only windows of these short
+    digests, which are in order."""
     sizes = np.array([len(c) for c in group.codes])
     words = (np.concatenate(group.codes).astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -404,6 +415,10 @@ def counted(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     digest = np.zeros(len(at), np.uint64)
     for k in range(RUN):
         digest = (digest ^ (digest >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[at + k]
+    if among is not None:
+        short = digest >> np.uint64(64 - short_bits(group.groups))
+        held = among[np.minimum(np.searchsorted(among, short), len(among) - 1)] == short
+        digest, at = digest[held], at[held]
     sums = np.concatenate([[0], np.cumsum(np.concatenate(group.mine))])
     order = np.argsort(digest, kind="stable")  # windows of one digest stay in order of pages
     digest, at = digest[order], at[order]
@@ -420,40 +435,79 @@ def _planes(x: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
 
 
-def windows(table: pa.Table) -> pa.Table:
-    """(host, shard, g, digests, pages) of a group of several: its windows by ranges of their digests, as many ranges as the
-    host has groups; the digests in order as differences, pages with a bit for wanted ones."""
-    names, kinds = "host shard g digests pages", [_S, pa.int32(), pa.int32(), _B, _B]
-    if table.column("groups")[0].as_py() == 1:
-        return _rows([], names, kinds)
-    group = Group(table)
-    digest, pages, wanted = counted(group)
-    flags = (2 * pages + wanted).astype(np.uint8)
-    width = np.uint64(2**64 // group.groups)
-    cuts = np.searchsorted(digest, np.arange(1, group.groups, dtype=np.uint64) * width).tolist()
+def _packed(digests: np.ndarray) -> bytes:
+    """Digests in order, as differences."""
+    return _planes(np.diff(digests, prepend=np.uint64(0)))
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _ranges(group: Group, bits: int, digest: np.ndarray, flags: np.ndarray) -> pa.Table:
+    """(host, shard, g, digests, flags) of a group's digests of so many bits by ranges, one for every RANGE groups of the host."""
+    shards = -(-group.groups // RANGE)
+    width = -(-(2**bits) // shards)
+    cuts = np.searchsorted(digest, np.array([k * width for k in range(1, shards)], np.uint64)).tolist()
     rows = []
     for shard, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(digest)])):
         if b > a:
-            rows.append((group.host, shard, group.g, _planes(np.diff(digest[a:b], prepend=np.uint64(0))), _planes(flags[a:b])))
-    return _rows(rows, names, kinds)
+            rows.append((group.host, shard, group.g, _packed(digest[a:b]), _planes(flags[a:b].astype(np.uint8))))
+    return _rows(rows, "host shard g digests flags", [_S, pa.int32(), pa.int32(), _B, _B])
+
+
+def _met(table: pa.Table) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of one range of a host's digests: each group's digests and flags, the places of those among the different ones, and of
+    these the sums of pages and the number of groups."""
+    held = [(_unpacked(d), np.frombuffer(zlib.decompress(f), np.uint8)) for d, f in zip(table.column("digests").to_pylist(), table.column("flags").to_pylist())]
+    own, at = np.unique(np.concatenate([d for d, _ in held]), return_inverse=True)
+    pages = np.bincount(at, np.concatenate([f >> 1 for _, f in held]), len(own))
+    return held, np.split(at, np.cumsum([len(d) for d, _ in held])[:-1]), pages, np.bincount(at, minlength=len(own))
+
+
+def short_windows(table: pa.Table) -> pa.Table:
+    """The short digests of a group of several, with the pages of all windows that have one, PAGES at most."""
+    if table.column("groups")[0].as_py() == 1:
+        return _rows([], "host shard g digests flags", [_S, pa.int32(), pa.int32(), _B, _B])
+    group = Group(table)
+    bits = short_bits(group.groups)
+    digest, pages, _ = counted(group)
+    short = digest >> np.uint64(64 - bits)
+    starts = np.flatnonzero(np.append(True, short[1:] != short[:-1])[: len(short)])
+    pages = np.minimum(np.add.reduceat(pages, starts), PAGES) if len(starts) else pages
+    return _ranges(group, bits, short[starts], 2 * pages)
+
+
+def candidates(table: pa.Table) -> pa.Table:
+    """(host, g, digests): of one range of a host's short digests those that several groups hold and that reach PAGES pages in
+    all, for each group that holds them. No window that reaches PAGES pages only with others' is left out."""
+    held, places, pages, groups = _met(table)
+    may = (pages >= PAGES) & (groups > 1)
+    rows = []
+    for g, (digest, _), at in zip(table.column("g").to_pylist(), held, places):
+        if len(back := digest[may[at]]):
+            rows.append((table.column("host")[0].as_py(), g, _packed(back)))
+    return _rows(rows, "host g digests", [_S, pa.int32(), _B])
+
+
+def windows(table: pa.Table, back: pa.Table) -> pa.Table:
+    """The digests of a group's windows that are candidates, with a bit for wanted ones and pages above it."""
+    if not table.num_rows or not back.num_rows:
+        return _rows([], "host shard g digests flags", [_S, pa.int32(), pa.int32(), _B, _B])
+    group = Group(table)
+    digest, pages, wanted = counted(group, np.sort(np.concatenate([_unpacked(x) for x in back.column("digests").to_pylist()])))
+    return _ranges(group, 64, digest, 2 * pages + wanted)
 
 
 def reaching(table: pa.Table) -> pa.Table:
     """(host, g, digests): of one range of a host's windows those that reach PAGES pages in all, for each group that wants them
     and has fewer."""
-    held = []
-    for digests, pages in zip(table.column("digests").to_pylist(), table.column("pages").to_pylist()):
-        flags = np.frombuffer(zlib.decompress(pages), np.uint8)
-        planes = np.frombuffer(zlib.decompress(digests), np.uint8).reshape(8, len(flags))
-        held.append((np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64), flags))
-    own, at = np.unique(np.concatenate([d for d, _ in held]), return_inverse=True)
-    reached = np.bincount(at, np.concatenate([f >> 1 for _, f in held]), len(own)) >= PAGES
-    rows, begin = [], 0
-    for g, (digest, flags) in zip(table.column("g").to_pylist(), held):
-        back = digest[reached[at[begin : begin + len(digest)]] & (flags & 1 > 0) & (flags >> 1 < PAGES)]
-        begin += len(digest)
-        if len(back):
-            rows.append((table.column("host")[0].as_py(), g, back.tobytes()))
+    held, places, pages, _ = _met(table)
+    rows = []
+    for g, (digest, flags), at in zip(table.column("g").to_pylist(), held, places):
+        if len(back := digest[(pages[at] >= PAGES) & (flags & 1 > 0) & (flags >> 1 < PAGES)]):
+            rows.append((table.column("host")[0].as_py(), g, _packed(back)))
     return _rows(rows, "host g digests", [_S, pa.int32(), _B])
 
 
@@ -463,7 +517,8 @@ def searched(table: pa.Table, back: pa.Table) -> pa.Table:
     if not table.num_rows:
         return _rows([], names, kinds)
     group = Group(table)
-    hits = Streams(group.codes).covered(np.frombuffer(b"".join(back.column("digests").to_pylist()), np.int64))
+    elsewhere = [_unpacked(x).view(np.int64) for x in back.column("digests").to_pylist()]
+    hits = Streams(group.codes).covered(np.concatenate(elsewhere) if elsewhere else np.zeros(0, np.int64))
     rows, counts = [], {}
     ids, urls, texts = (table.column(c).to_pylist() for c in ("page_id", "url", "texts"))
     for i, (kind, hit, mine) in enumerate(zip(group.kinds, hits, group.mine)):
@@ -505,11 +560,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     streams = dealt.select("page_id", "url", "host", "g", "groups", "html").mapInArrow(streams_of, _STREAM).repartition("host", "g")
     by_group = streams.groupBy("host", "g")
 
-    # the groups of a host exchange digests of their windows: those that reach PAGES pages in all go back to the groups
-    # that hold them
-    shards = by_group.applyInArrow(windows, "host string, shard int, g int, digests binary, pages binary")
-    back = shards.groupBy("host", "shard").applyInArrow(reaching, "host string, g int, digests binary")
-    found = common.staged(by_group.cogroup(back.groupBy("host", "g")).applyInArrow(searched, _FOUND), "found")
+    # the groups of a host exchange short digests of their windows, then whole ones of those that may reach PAGES pages in
+    # all; those that do go back to the groups that hold them
+    held, back = "host string, shard int, g int, digests binary, flags binary", "host string, g int, digests binary"
+    met = lambda shards, of: shards.groupBy("host", "shard").applyInArrow(of, back).groupBy("host", "g")
+    may = met(by_group.applyInArrow(short_windows, held), candidates)
+    reached = met(by_group.cogroup(may).applyInArrow(windows, held), reaching)
+    found = common.staged(by_group.cogroup(reached).applyInArrow(searched, _FOUND), "found")
 
     sums = found.where("slot is not null").groupBy("host", "slot").agg(*(F.sum(c).alias(c) for c in ("pages", "covered", "total")))
     bad = sums.where((F.col("pages") >= PAGES) & (F.col("covered") >= SLOT * F.col("total"))).groupBy("host").agg(F.collect_set("slot").alias("bad"))

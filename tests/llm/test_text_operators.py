@@ -3,13 +3,18 @@
 import base64
 import hashlib
 import random
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandline.llm import bpe_codec, main_text, pretokens, suffixes, token_counts, warc
@@ -308,3 +313,54 @@ def test_main_text_of_articles_does_not_depend_on_groups(spark, monkeypatch):
         found.append(sorted((r.page_id, r.text) for r in main_text.main_text(pages).collect()))
     assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
     assert all((tell in t) == (i == 90) for i, t in found[0] if i < 91)
+
+
+def test_groups_exchange_little(spark):
+    # three groups of one host: 1.25 million tokens, nearly all windows different; whole digests were 6 bytes a window
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(500)), lambda k: F.substring(F.md5(F.concat_ws("x", "id", k)), 1, 7)))
+    html = F.concat(F.lit("<article><p>"), text, F.lit("</p></article>"))
+    pages = spark.range(2500).select(F.col("id").alias("page_id"), F.lit("http://a.example/").alias("url"), html.alias("html"))
+    sc = spark.sparkContext
+    sc.setJobGroup("main_text", "")
+    try:
+        assert main_text.main_text(pages).agg(F.sum("n_chars")).first()[0] == 2500 * (500 * 8 - 1)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("main_text") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    written = sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    assert 4 * 2500 * 500 < written < 6.5 * 2500 * 500
+
+
+@pytest.mark.parametrize("bits", [4, 9, 40])
+def test_short_digests_lose_no_window(monkeypatch, bits):
+    # whatever collides in short digests, the windows that reach PAGES pages over the groups come back, and only those
+    monkeypatch.setattr(main_text, "short_bits", lambda groups: bits)
+    rng = random.Random(bits)
+    groups = 9
+    pages = [(i, i % groups, "".join(f"<div>{' '.join(rng.choices('abcde', k=rng.choice([3, 6, 9])))}</div>" for _ in range(rng.randint(1, 6)))) for i in range(90)]
+    tables = {}
+    for g in range(groups):
+        rows = [(i, "u", "h", g, groups, html) for i, at, html in pages if at == g]
+        tables[g] = pa.Table.from_batches(main_text.streams_of([pa.table(list(zip(*rows)), names=[*"abcdef"]).to_batches()[0]]))
+
+    def met(shards, of):
+        shards = pa.concat_tables(shards)
+        back = [of(shards.filter(pc.equal(shards.column("shard"), s))) for s in set(shards.column("shard").to_pylist())]
+        back = pa.concat_tables(back)
+        return {g: back.filter(pc.equal(back.column("g"), g)) for g in tables}
+
+    may = met([main_text.short_windows(t) for t in tables.values()], main_text.candidates)
+    reached = met([main_text.windows(t, may[g]) for g, t in tables.items()], main_text.reaching)
+    alone = {g: main_text.counted(main_text.Group(t)) for g, t in tables.items()}
+    total = Counter()
+    for digest, _, _ in alone.values():
+        total.update(dict.fromkeys(digest.tolist(), 0))
+    for t in tables.values():
+        for codes in main_text.Group(t).codes:  # each page a group of its own
+            one = SimpleNamespace(codes=[codes], mine=[np.ones(len(codes), bool)])
+            total.update(main_text.counted(one)[0].tolist())
+    for g, (digest, held, wanted) in alone.items():
+        want = {d for d, p, w in zip(digest.tolist(), held.tolist(), wanted.tolist()) if w and p < main_text.PAGES <= total[d]}
+        got = [d for x in reached[g].column("digests").to_pylist() for d in main_text._unpacked(x).tolist()]
+        assert sorted(got) == sorted(want)
+    assert any(len(r) for r in reached.values())
