@@ -91,12 +91,13 @@ def write_scored(rows: DataFrame, path: str) -> None:
     rows.select("suite", "probe_id", "gold", "pred", "judge").write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def table_of(readouts: DataFrame) -> DataFrame:
+def table_of(readouts: DataFrame, shown: Column | None = None) -> DataFrame:
     """(place, line): readouts (label, seen_mean, separation, micro, heldout, base_mean, retention, traps) as a text table, in
-    order of label; a missing number reads nan."""
+    order of label; a missing number reads nan. ``shown`` stands in the line instead of the padded label; where it is null, so
+    is the line."""
     head = f"{'run':<22}{'seen':>8}{'sep':>9}{'micro':>8}{'heldout':>9}{'base':>8}{'ret(d0)':>9}{'traps':>7}"
-    number = lambda c, width, digits: F.lpad(F.when(F.col(c).isNull() | F.isnan(c), "nan").otherwise(F.format_string(f"%.{digits}f", F.col(c).cast("double"))), width, " ")
-    label = F.when(F.length("label") >= 22, F.col("label")).otherwise(F.rpad("label", 22, " "))
+    number = lambda c, width, digits: F.lpad(F.coalesce(text.fixed(F.col(c), digits), F.lit("nan")), width, " ")
+    label = F.when(F.length("label") >= 22, F.col("label")).otherwise(F.rpad("label", 22, " ")) if shown is None else shown
     shape = (("seen_mean", 8, 4), ("separation", 9, 4), ("micro", 8, 4), ("heldout", 9, 4), ("base_mean", 8, 4), ("retention", 9, 3), ("traps", 7, 2))
     lines = readouts.select(F.col("label").alias("_l"), F.concat(label, *[number(*s) for s in shape]).alias("line"))
     spark = readouts.sparkSession

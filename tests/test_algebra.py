@@ -4,11 +4,13 @@ import itertools
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import nested as documents
 from strandline.operators import nested, runlists, suites
+from strandline.plans import algebra_queries
 
 
 def runs_of(numbers):
@@ -129,6 +131,28 @@ def test_table_of_readouts(spark):
     assert lines[2].startswith("a" * 30) and lines[3] == f"{'b':<22}{0.25:>8.4f}{'nan':>9}{0.5:>8.4f}{0.125:>9.4f}{0.1:>8.4f}{'nan':>9}{1.0:>7.2f}"
 
 
+def test_readouts_round_as_printf(spark):
+    kinds = "label string, seen_mean double, separation double, micro double, heldout double, base_mean double, retention double, traps double"
+    # exact halves, halves that no double holds, and what has no digit left of the last one
+    odd = [0.28125, 0.40625, 0.93165, 0.97705, 0.475, 0.625, 0.375, 0.565, 0.0005, 0.00005, -0.00005, -0.98125, -0.8015, 0.0, 1.0, 2.5, float("inf")]
+    rows = [(f"r{i:02d}", x, -x, x / 2, x, 1 - x, x, x) for i, x in enumerate(odd)]
+    lines = [r.line for r in suites.table_of(spark.createDataFrame(rows, kinds)).where("place >= 0").orderBy("place").collect()]
+    assert lines == [f"{r[0]:<22}{r[1]:>8.4f}{r[2]:>9.4f}{r[3]:>8.4f}{r[4]:>9.4f}{r[5]:>8.4f}{r[6]:>9.3f}{r[7]:>7.2f}" for r in rows]
+
+
+def test_readout_table_of_odd_documents(spark, tmp_path):
+    """As its SQL on means that end in halves, long and equal beginnings of languages, and identifiers below 0 or missing."""
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 10**6), f"l{n:03d}") for n in range(1, 200) for _ in range(n)]
+    rows += [(i, "y" * 22 + end) for end in "ba" for i in range(9)] + [(-i, "below") for i in range(1, 12)] + [(None, "none"), (None, "some"), (5, "some"), (1, None), (2, ""), (3, "日本語" * 9)]
+    spark.createDataFrame(rows, "doc_id long, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    query, sql = algebra_queries.QUERIES["readout_table"]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = {r.place: r.line for r in query(spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(sql).fetchall()) and None in got.values()
+
+
 def test_levels_of_nodes_start_from_the_level_above(spark):
     from strandline.operators import nested as walked
 
